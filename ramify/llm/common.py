@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Stands for a null id inside an operator, so that ids can be joined, sorted and hashed like any other.
 NULL_ID = -(2**63)
@@ -58,10 +57,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+
 
-    return to_arrow_schema(T._parse_datatype_string(ddl))  # noqa: SLF001
+def arrow_schema(ddl: str) -> pa.Schema:
+    """Of simple types; works on executors, where there is no session."""
+    return pa.schema([(n, _KINDS[k]) for n, k in (x.split() for x in ddl.split(","))])
 
 
 def per_batch(make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
