@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, sharding, simhash, substring
+from . import packing, quality, sharding, simhash, substring
 from .common import load
 
 
@@ -26,5 +26,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(load(spark, sf_dir, "documents")).drop("reason")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_histogram_sharding, op5_quality_rules)}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_histogram_sharding, op5_quality_rules, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
