@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, sharding, simhash, substring
+from . import packing, quality, sharding, simhash, substring, warc
 from .common import load
 
 
@@ -26,9 +26,39 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(load(spark, sf_dir, "documents")).drop("reason")
 
 
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(load(spark, sf_dir, "pages"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_histogram_sharding, op5_quality_rules, op10_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_histogram_sharding, op5_quality_rules, op7_warc_round_trip, op10_best_fit_packing)}
+
+#: All rows of a payload of at least 1000 bytes but those of the largest page_id are revisits.
+OP7 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m
+  FROM pages)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 1000 AND m <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND m <> page_id THEN m END AS refers_to
+FROM p
+"""
+
+#: A window's word sequence is one string of 20 words; it goes if it is not the first of its sequence by document and start.
+OP3 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS word FROM w),
+h AS (
+  SELECT doc_id, j, word, sha256(string_agg(word, ' ') OVER o) AS seq, count(*) OVER o AS n
+  FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+g AS (SELECT doc_id, j, word, n = 20 AND row_number() OVER (PARTITION BY seq, n ORDER BY doc_id, j) > 1 AS again FROM h),
+r AS (SELECT doc_id, j, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM g),
+a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept FROM r GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(a.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(a.kept, '')) AS kept_sha256
+FROM w LEFT JOIN a ON w.doc_id = a.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": OP3, "op7_warc_round_trip": OP7}
