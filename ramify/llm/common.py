@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +87,13 @@ def pieces(batch: pa.RecordBatch, at_most: int = 8 << 20) -> Iterator[pa.RecordB
     rows = max(1, int(batch.num_rows * at_most / max(batch.nbytes, 1)))
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
+
+
+def pack_array(a: np.ndarray) -> bytes:
+    """The bytes of all values by place, so that equal high bytes lie together, compressed."""
+    return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 1)
+
+
+def unpack_array(raw: bytes, kind: type) -> np.ndarray:
+    flat = np.frombuffer(zstandard.decompress(raw), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, quality, sharding, simhash, substring, warc
+from . import attribution, packing, quality, sharding, simhash, substring, warc, word_bpe
 from .common import load
 
 
@@ -26,15 +27,25 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(load(spark, sf_dir, "documents")).drop("reason")
 
 
+def op6_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = word_bpe.encode(load(spark, sf_dir, "documents"))
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages"))
 
 
+def op8_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.attribute(load(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_histogram_sharding, op5_quality_rules, op7_warc_round_trip, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_histogram_sharding, op5_quality_rules, op6_distinct_word_bpe, op7_warc_round_trip, op8_token_attribution, op10_best_fit_packing)}
 
 #: All rows of a payload of at least 1000 bytes but those of the largest page_id are revisits.
 OP7 = """
