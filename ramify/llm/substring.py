@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import arrow_schema, id_in, id_out, partitions
+from .common import arrow_schema, id_in, id_out, pack_array, partitions, unpack_array
 
 #: Odd, so it has an inverse modulo 2**64 and window hashes come from differences of one running sum.
 BASE = 0x9E3779B97F4A7C15
@@ -22,6 +22,7 @@ INVERSE = pow(BASE, -1, 2**64)
 RANGE_WINDOWS = 2_000_000
 BATCH_WORDS = 1_000_000
 PARTS = "part int, n int, hashes binary, places binary, ids binary, texts binary, firsts binary"
+BUCKETS = "bucket int, ids binary, texts binary, starts binary"
 FLAGS = "doc_id long, th int, starts binary"
 
 
@@ -51,16 +52,6 @@ def window_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """The bytes of all values by place, so that equal high bytes lie together, compressed."""
-    return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 1)
-
-
-def _unpack(raw: bytes, kind: type) -> np.ndarray:
-    flat = np.frombuffer(zstandard.decompress(raw), np.uint8)
-    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 def _rise(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=a.dtype.type(0))
 
@@ -111,7 +102,7 @@ class _Batch:
             own, at = np.unique(np.searchsorted(firsts, places, "right") - 1, return_inverse=True)
             starts = places - firsts[own][at]
             sent = np.concatenate(([0], np.cumsum(lengths[own])))[:-1].astype(np.int32)
-            return {"part": part, "n": n, "hashes": _pack(_rise(hashes)), "places": _pack((sent[at] + starts).astype(np.int32)), "ids": _pack(_rise(ids[own])), "texts": _pack(texts[own]), "firsts": _pack(_rise(sent))}
+            return {"part": part, "n": n, "hashes": pack_array(_rise(hashes)), "places": pack_array((sent[at] + starts).astype(np.int32)), "ids": pack_array(_rise(ids[own])), "texts": pack_array(texts[own]), "firsts": pack_array(_rise(sent))}
 
         hf, pf, cut = h[first], place[first], part[first]
         edges = np.flatnonzero(np.concatenate((np.ones(1, bool), cut[1:] != cut[:-1])))
@@ -126,26 +117,54 @@ class _Batch:
 
 
 def _decode(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, texts, firsts = np.cumsum(_unpack(row["ids"], np.int64)), _unpack(row["texts"], np.int32), np.cumsum(_unpack(row["firsts"], np.int32), dtype=np.int32)
-    place = _unpack(row["places"], np.int32)
+    ids, texts, firsts = np.cumsum(unpack_array(row["ids"], np.int64)), unpack_array(row["texts"], np.int32), np.cumsum(unpack_array(row["firsts"], np.int32), dtype=np.int32)
+    place = unpack_array(row["places"], np.int32)
     at = np.searchsorted(firsts, place, "right") - 1
     return ids[at], texts[at], place - firsts[at]
 
 
-def _flag_rows(ids: np.ndarray, texts: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+def _by_bucket(ids: np.ndarray, texts: np.ndarray, starts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Windows to remove, one row for each bucket of documents; all windows of a document meet in one bucket."""
+    bucket = ((ids.view(np.uint64) * np.uint64(BASE) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+    order = np.lexsort((starts, texts, ids, bucket))
+    bucket, ids, texts, starts = bucket[order], ids[order], texts[order], starts[order]
+    edge = np.flatnonzero(np.concatenate((np.ones(1, bool), bucket[1:] != bucket[:-1])))
+    rows = [{"bucket": int(bucket[i]), "ids": pack_array(_rise(ids[i:j])), "texts": pack_array(_rise(texts[i:j])), "starts": pack_array(_rise(starts[i:j]))} for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(ids)], strict=True)]
+    return pa.RecordBatch.from_pylist(rows, schema=arrow_schema(BUCKETS))
+
+
+def _merged(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    """All windows to remove of the documents of one bucket, a row for each document."""
+    if not rows:
+        return
+    ids, texts, starts = (np.concatenate([np.cumsum(unpack_array(r[n], kind), dtype=kind) for r in rows]) for n, kind in (("ids", np.int64), ("texts", np.int32), ("starts", np.int32)))
     order = np.lexsort((starts, texts, ids))
     ids, texts, starts = ids[order], texts[order], starts[order].astype("<i4")
     edge = np.flatnonzero(np.concatenate((np.ones(1, bool), (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1]))))
     ends = [*edge[1:].tolist(), len(ids)]
-    blobs = [starts[a:b].tobytes() for a, b in zip(edge.tolist(), ends, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(ids[edge]), pa.array(texts[edge]), pa.array(blobs, pa.binary())], schema=arrow_schema(FLAGS))
+    for i in range(0, len(edge), 5000):
+        some = edge[i : i + 5000]
+        blobs = [starts[a:b].tobytes() for a, b in zip(some.tolist(), ends[i : i + 5000], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(texts[some]), pa.array(blobs, pa.binary())], schema=arrow_schema(FLAGS))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """The rows of each key of a partition that is sorted by it."""
+    held: list[dict] = []
+    for b in batches:
+        for r in b.to_pylist():
+            if held and r[key] != held[0][key]:
+                yield held
+                held = []
+            held.append(r)
+    yield held
 
 
-def _repeats(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+def _repeats(rows: list[dict], parts: int) -> Iterator[pa.RecordBatch]:
     """The windows of one range whose hash also starts earlier: at a smaller (id, start)."""
     sent = [r for r in rows if r["n"] >= 0]
     if sent:
-        h = np.concatenate([np.cumsum(_unpack(r["hashes"], np.uint64), dtype=np.uint64) for r in sent])
+        h = np.concatenate([np.cumsum(unpack_array(r["hashes"], np.uint64), dtype=np.uint64) for r in sent])
         order = np.argsort(h)
         same = np.diff(h[order]) == 0
         more = np.concatenate((same, [False])) | np.concatenate(([False], same))
@@ -167,10 +186,10 @@ def _repeats(rows: list[dict]) -> Iterator[pa.RecordBatch]:
             head = np.flatnonzero(new)[np.cumsum(new) - 1]
             later = (ids != ids[head]) | (starts != starts[head])
             if later.any():
-                yield _flag_rows(ids[later], texts[later], starts[later])
+                yield _by_bucket(ids[later], texts[later], starts[later], parts)
     for r in rows:
         if r["n"] < 0:
-            yield _flag_rows(*_decode(r))
+            yield _by_bucket(*_decode(r), parts)
 
 
 def repeated_windows(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
@@ -202,28 +221,23 @@ def repeated_windows(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
         yield from flush()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, []
-        for b in batches:
-            for r in b.to_pylist():
-                if r["part"] != part and held:
-                    yield from _repeats(held)
-                    held = []
-                part = r["part"]
-                held.append(r)
-        yield from _repeats(held)
+        for rows in _runs(batches, "part"):
+            yield from _repeats(rows, parts)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "bucket"):
+            yield from _merged(rows)
 
     sent = own.mapInArrow(send, PARTS)
-    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(judge, FLAGS)
+    found = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(judge, BUCKETS)
+    return found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, FLAGS)
 
 
-def covered(n: int, starts: list[bytes], k: int) -> np.ndarray:
+def covered(n: int, starts: bytes, k: int) -> np.ndarray:
     """Which of n words lie in a window at one of the starts: the union of maximal removal intervals."""
-    step = np.zeros(n + 1, np.int64)
-    for raw in starts:
-        at = np.frombuffer(raw, "<i4")
-        np.add.at(step, at, 1)
-        np.add.at(step, at + k, -1)
-    return np.cumsum(step[:-1]) > 0
+    at = np.frombuffer(starts, "<i4")
+    step = np.bincount(at, minlength=n + 1) - np.bincount(at + k, minlength=n + 1)
+    return np.cumsum(step[:n]) > 0
 
 
 def _pressed(text: Column) -> Column:
@@ -237,8 +251,8 @@ def _pressed(text: Column) -> Column:
 
 def _joined(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """docs with __ramify_z (the compressed text, which is what the join moves) and __ramify_starts."""
-    flags = repeated_windows(docs, key, text, k).groupBy("doc_id", "th").agg(F.collect_list("starts").alias("__ramify_starts"))
-    flags = flags.select(F.col("doc_id").alias("__ramify_id"), F.col("th").alias("__ramify_th"), "__ramify_starts")
+    flags = repeated_windows(docs, key, text, k)
+    flags = flags.select(F.col("doc_id").alias("__ramify_id"), F.col("th").alias("__ramify_th"), F.col("starts").alias("__ramify_starts"))
     raw = F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b""))
     left = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != text), F.col(text).isNull().alias("__ramify_null"), id_in(key).alias("__ramify_key"), F.hash(raw).alias("__ramify_own"), _pressed(raw).alias("__ramify_z"))
     return left.join(flags, (F.col("__ramify_key") == F.col("__ramify_id")) & (F.col("__ramify_own") == F.col("__ramify_th")), "left")
