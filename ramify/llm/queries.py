@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, ctw, packing, quality, sharding, simhash, substring, warc, word_bpe
+from . import attribution, ctw, imatch, packing, quality, sharding, simhash, substring, warc, word_bpe
 from .common import load
 
 
+def op1_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(load(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_histogram_sharding, op5_quality_rules, op6_distinct_word_bpe, op7_warc_round_trip, op8_token_attribution, op9_context_tree_weighting, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_imatch_fingerprints, op2_simhash_near_dedup, op3_substring_dedup, op4_histogram_sharding, op5_quality_rules, op6_distinct_word_bpe, op7_warc_round_trip, op8_token_attribution, op9_context_tree_weighting, op10_best_fit_packing)}
 
 #: All rows of a payload of at least 1000 bytes but those of the largest page_id are revisits.
 OP7 = """
