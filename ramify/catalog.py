@@ -74,10 +74,10 @@ def merge_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT arg_max(o_totalprice, o_orderkey) AS at FROM orders)
-SELECT at AS pivot_value, count(*) FILTER (o_totalprice <= at) - 1 AS split, count(*) FILTER (o_totalprice <= at) - 1 AS n_left,
-  count(*) FILTER (o_totalprice > at) + 1 AS n_right, max(o_totalprice) FILTER (o_totalprice <= at) AS max_left, min(o_totalprice) FILTER (o_totalprice > at) AS min_right
-FROM orders, p GROUP BY at""")
+WITH p AS (SELECT arg_max(o_totalprice, o_orderkey) AS pv FROM orders)
+SELECT pv AS pivot_value, count(*) FILTER (o_totalprice <= pv) - 1 AS split, count(*) FILTER (o_totalprice <= pv) - 1 AS n_left,
+  count(*) FILTER (o_totalprice > pv) + 1 AS n_right, max(o_totalprice) FILTER (o_totalprice <= pv) AS max_left, min(o_totalprice) FILTER (o_totalprice > pv) AS min_right
+FROM orders, p GROUP BY pv""")
 def quicksort_partition_step(spark: SparkSession, d: str) -> DataFrame:
     return sorting.quicksort_step(load(spark, d, "orders"), "o_totalprice", "o_orderkey")
 
