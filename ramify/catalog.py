@@ -216,19 +216,19 @@ def label_parent(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, count(*) AS n, arg_max(CAST(l_quantity AS BIGINT), (l_linenumber, l_partkey, l_suppkey)) AS own,
-  array_to_string(list(CAST(l_quantity AS BIGINT) ORDER BY l_linenumber, l_partkey, l_suppkey)[:-2], ',') AS others
+SELECT l_orderkey, count(*) AS n, arg_max(CAST(l_quantity AS BIGINT), (l_linenumber, l_partkey, l_suppkey, l_quantity)) AS own,
+  array_to_string(list(CAST(l_quantity AS BIGINT) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)[:-2], ',') AS others
 FROM lineitem GROUP BY 1 HAVING count(*) > 1""")
 def fanin_last_combines(spark: SparkSession, d: str) -> DataFrame:
     return fanin.last_combines(load(spark, d, "lineitem"), "l_orderkey", LINE[1:], quantity())
 
 
 @query("""
-WITH r AS (SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem)
+WITH r AS (SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem)
 SELECT a.l_orderkey, (a.k + 1) // 2 AS pair, a.q AS first_value, b.q AS second_value FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.k % 2 = 1 AND b.k = a.k + 1""")
 def sibling_join(spark: SparkSession, d: str) -> DataFrame:
     own = load(spark, d, "lineitem").select(*LINE, quantity().alias("q"))
-    return fanin.siblings(sorting.window_rank(own, "l_orderkey", LINE[1:], "k"), "l_orderkey", "k", "q")
+    return fanin.siblings(sorting.window_rank(own, "l_orderkey", [*LINE[1:], "q"], "k"), "l_orderkey", "k", "q")
 
 
 # Fibonacci and memoization
