@@ -14,7 +14,8 @@ def _state(links: DataFrame) -> tuple[int, int]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(a long, b long), in any direction, to (node, root): root is the least node that can be reached. Nodes without links are absent.
+    """(a long, b long), in any direction, to (node, root): root is the least node that can be reached. Roots and
+    nodes without links have no row.
 
     A star round takes the least neighbour of each node by partial sums and joins it back to the links, so that a node with
     very many links is a skewed join, which Spark splits, and never a collected list. Each round is written to the shared
