@@ -135,13 +135,40 @@ def test_simhash_awkward_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def plain_similar(rows):
+    wide = [simhash.wide_fingerprint(raw(t), 5) for _, t in rows]
+    return plain_groups(wide, lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b, strict=True)) <= 52)
+
+
 def test_keep_one_keeps_all_columns_and_one_of_each(docs, odd):
+    assert simhash.bits_apart(0.8) == 52
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    left = {r.doc_id for r in kept.collect()}
-    groups = plain_groups([plain_fingerprint(t, 5) for _, t in corpus()], lambda a, b: (a ^ b).bit_count() <= 3)
-    assert left == set(groups)
-    assert simhash.keep_one(odd).count() == len(set(plain_groups([plain_fingerprint(t, 5) for _, t in awkward()], lambda a, b: (a ^ b).bit_count() <= 3)))
+    assert {r.doc_id for r in kept.collect()} == set(plain_similar(corpus()))
+    assert simhash.keep_one(odd).count() == len(set(plain_similar(awkward())))
+
+
+def test_keep_one_finds_near_copies_and_leaves_others(spark):
+    rnd, rows = random.Random(2), []
+    for g in range(60):
+        words = prose(g, 150, 3000).split()
+        rows.append((10 * g, " ".join(words)))
+        for c in range(1, 4):  # two changed words: a Jaccard similarity of 0.87 or more
+            copy = list(words)
+            for _ in range(2):
+                copy[rnd.randrange(len(copy))] = f"other{rnd.random()}"
+            rows.append((10 * g + c, " ".join(copy)))
+    kept = {r.doc_id for r in simhash.keep_one(make(spark, rows)).collect()}
+    assert {10 * g for g in range(60)} <= kept and len(kept) <= 62
+
+
+@pytest.mark.parametrize("shifts", [2, 16])
+def test_wide_links_of_short_and_long_lists(spark, shifts, monkeypatch):
+    monkeypatch.setattr(simhash, "SHIFTS", shifts)
+    texts = [prose(g, 120, 4000).split() for g in range(8)]
+    rows = [(i, " ".join([*t[: i % 100], f"w{i}", *t[i % 100 + 1 :]])) for i, t in enumerate(texts * 12)]
+    kept = {r.doc_id for r in simhash.keep_one(make(spark, rows)).collect()}
+    assert kept == set(range(8))
 
 
 # repeated passages
