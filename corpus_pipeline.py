@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; SimHash of 5-word shingles, 3 or fewer of 64 bits apart."""
-    return simhash.keep_one(docs, shingle=5, max_bits=3)
+    """The document with the smallest id of each group; SimHash of 5-word shingles, a similarity of 0.8 or more."""
+    return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
