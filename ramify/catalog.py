@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import labels
 from .operators import fanin, memo, recursion, reduction, sorting, sync, trials
-from .plans import tree
+from .plans import program, tree
 from .sources import files
 from .storage import fresh, load
 from .streaming import replay
@@ -194,6 +194,27 @@ def fanout_counts(spark: SparkSession, d: str) -> DataFrame:
     return tree.fanout_counts(_tree(spark, d))
 
 
+RANKED = ", r AS (SELECT o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders)"
+
+
+def _positions(spark: SparkSession, d: str) -> DataFrame:
+    own = sorting.sort_global(load(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"])
+    return own.withColumn("pos", F.col("rank") - 1)
+
+
+@query(TREE + RANKED + "SELECT problem_id, CAST(sum(o_custkey) AS BIGINT) AS result FROM t JOIN r ON pos BETWEEN lo AND hi WHERE level = 2 GROUP BY 1")
+def program_partial_sums(spark: SparkSession, d: str) -> DataFrame:
+    """A user program whose combining stops at level 2."""
+    return program.execute(program.TREE_REDUCTION, _positions(spark, d), "pos", "o_custkey", output_level=2)
+
+
+@query("SELECT '[0,1]' AS problem_id, unnest(range(count(*))) AS pos, unnest(list_sort(list(o_custkey))) AS o_custkey FROM orders")
+def program_merge_sort(spark: SparkSession, d: str) -> DataFrame:
+    """A user program over arrays, down to leaves of 99 elements and up to the root."""
+    out = program.execute(program.MERGE_SORT, _positions(spark, d), "pos", "o_custkey")
+    return out.select("problem_id", F.posexplode("result").alias("pos", "o_custkey")).withColumn("pos", F.col("pos").cast("long"))
+
+
 @query(TREE + "SELECT problem_id, problem_id || '[0,2]' AS first_child, problem_id || '[1,2]' AS second_child FROM t")
 def label_fanout(spark: SparkSession, d: str) -> DataFrame:
     first, second = (labels.fanout(F.col("problem_id"), F.lit(i), F.lit(2)) for i in (0, 1))

@@ -58,14 +58,19 @@ def fanout_counts(tree: DataFrame) -> DataFrame:
     return inner.groupBy("level").agg(F.count("*").alias("fanouts"), F.count("*").alias("invoked"), F.count("*").alias("becomes"))
 
 
-def slices(tree: DataFrame, rows: DataFrame, position: str, value: str) -> DataFrame:
-    """For each leaf the rows of its range: n, first and last value, sum. Each row finds its leaf among equal-width candidates.
+def with_leaf(tree: DataFrame, rows: DataFrame, position: str) -> DataFrame:
+    """rows with the problem_id, from_idx and to_idx of the leaf that holds their position.
 
-    The rows' position is divided by the least leaf size to get an equi-join key; a leaf spans a few such cells.
+    Positions are divided by the least leaf size to get an equi-join key; a leaf spans a few such cells.
     """
     leaves = tree.where("is_leaf").select("problem_id", "from_idx", "to_idx")
     width = leaves.agg(F.min(F.col("to_idx") - F.col("from_idx") + 1)).first()[0] or 1
-    cells = leaves.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from_idx") / width), F.floor(F.col("to_idx") / width))))
-    own = rows.select(F.col(position).alias("__pos"), F.col(value).alias("__value")).withColumn("cell", F.floor(F.col("__pos") / width))
-    met = own.join(cells, "cell").where("__pos BETWEEN from_idx AND to_idx")
+    cells = leaves.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("from_idx") / width), F.floor(F.col("to_idx") / width))))
+    own = rows.withColumn("__cell", F.floor(F.col(position) / width))
+    return own.join(cells, "__cell").where(F.col(position).between(F.col("from_idx"), F.col("to_idx"))).drop("__cell")
+
+
+def slices(tree: DataFrame, rows: DataFrame, position: str, value: str) -> DataFrame:
+    """For each leaf the rows of its range: n, first and last value, sum."""
+    met = with_leaf(tree, rows.select(F.col(position).alias("__pos"), F.col(value).alias("__value")), "__pos")
     return met.groupBy("problem_id", "from_idx", "to_idx").agg(F.count("*").alias("n"), F.min_by("__value", "__pos").alias("first_value"), F.max_by("__value", "__pos").alias("last_value"), F.sum("__value").alias("total"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ramify.functions import labels, student
 from ramify.operators import fanin, memo, recursion, reduction, scan, sorting, sync, trials
-from ramify.plans import tree
+from ramify.plans import program, tree
 from ramify.sources import files
 from ramify.storage import fresh
 
@@ -161,3 +161,14 @@ def test_files(spark):
     numbers = files.random_numbers(spark, 1000)
     r = numbers.agg(F.min("v").alias("a"), F.max("v").alias("b")).first()
     assert -1000 <= r.a < r.b <= 1000
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 16, 100])
+def test_programs(spark, n):
+    rnd = random.Random(n)
+    values = [rnd.randint(-1000, 1000) for _ in range(n)]
+    df = spark.createDataFrame(list(enumerate(values)), "pos long, v long")
+    small = program.Program(sequential=F.sum, combine=F.sum, threshold=3)
+    assert [r.result for r in program.execute(small, df, "pos", "v").collect()] == ([sum(values)] if n else [])
+    sort = program.Program(sequential=program.MERGE_SORT.sequential, combine=program.MERGE_SORT.combine, threshold=7)
+    assert [r.result for r in program.execute(sort, df, "pos", "v").collect()] == ([sorted(values)] if n else [])
