@@ -4,9 +4,9 @@ The lexicon is the terms whose document frequency lies in a band of shares of al
 frequencies. As the frequencies of all terms add up to the distinct terms of all documents, at most (mean distinct terms of
 a document) / low terms are in the band, at any size of the corpus.
 
-A lexicon subset of level l holds each term with probability 2**-l. A fingerprint has, for its level and the next, the hash of
-the sorted distinct terms in each of several subsets. Its level follows the number of its lexicon terms, so that a subset
-holds about one or two of them, for short documents and long ones alike.
+The lexicon is split at random into 16 subsets; a subset of level l holds each of its terms with probability 2**-l. A
+fingerprint has, for its level and the next, the hash of the sorted distinct terms in each subset. Its level follows the
+number of its lexicon terms, so that a subset holds one to three of them, for long documents and longer ones alike.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .common import id_in, id_out, partitions, table
 #: Between terms: all but letters and digits.
 GAP = r"[^\p{L}\p{N}]+"
 SUBSETS = 16
+#: The entry of a subset without a term: the hash of an empty array is its seed.
+EMPTY = 42
 #: The lexicon is broadcast below so many terms (8 bytes each), and joined by a shuffle beyond.
 BROADCAST_TERMS = 2_000_000
 
@@ -37,23 +39,37 @@ def lexicon(texts: DataFrame, low: float, high: float) -> DataFrame:
     return table(df.where((F.col("df") >= low * n) & (F.col("df") <= high * n)).select("key"), "lexicon")
 
 
-def entries(keys: Column, level: Column) -> Column:
-    """The hash of the terms in each subset of a level, 1 to 65535; 0 for no term."""
+def masks(keys: Column) -> Column:
+    """The mask of the level at which SUBSETS subsets hold some 1.5 of these terms each: 2**level - 1."""
+    level = F.greatest(F.floor(F.log2(F.greatest(F.size(keys), F.lit(1)) / (1.5 * SUBSETS))), F.lit(0)).cast("int")
+    return F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1
+
+
+def sampled(keys: Column, mask: Column) -> Column:
+    """The terms that are in the subsets of a level: all bits of the mask are zero in them, above those that name the subset."""
+    return F.filter(keys, lambda t: F.shiftrightunsigned(t, 4).bitwiseAND(mask) == 0)
+
+
+def entries(keys: Column) -> Column:
+    """The hash of the sorted terms in each subset, as 16 bits; a term's lowest bits name its subset. EMPTY for no term."""
 
     def one(k: Column) -> Column:
-        mask = F.expr("1L") * F.pow(F.lit(2.0), level).cast("long") - 1
-        own = F.filter(keys, lambda t: F.xxhash64(t, k).bitwiseAND(mask) == 0)
-        return F.when(F.size(own) > 0, F.pmod(F.xxhash64(own), F.lit(65535)) + 1).otherwise(F.lit(0).cast("long"))
+        return F.pmod(F.xxhash64(F.filter(keys, lambda t: t.bitwiseAND(SUBSETS - 1) == k)), F.lit(65536))
+
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), one)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
 
+def with_fingerprint(df: DataFrame, keys: str, plain: Column, out: str) -> DataFrame:
+    """Adds struct(level, low, high, plain): entries of the level and the next. Without a lexicon term, level -1 and the text's own hash.
 
-def fingerprint(keys: Column, plain: Column) -> Column:
-    """struct(level, low, high, plain): entries of the level and the next. Without a lexicon term, level -1 and the text's own hash."""
-    level = F.floor(F.log2(F.greatest(F.size(keys), F.lit(1)).cast("double"))).cast("int")
-    some = F.size(keys) > 0
-    none = F.array_repeat(F.lit(0).cast("long"), SUBSETS)
-    return F.struct(F.when(some, level).otherwise(-1).alias("level"), F.when(some, entries(keys, level)).otherwise(none).alias("low"), F.when(some, entries(keys, level + 1)).otherwise(none).alias("high"), F.when(~some, plain).alias("plain"))
+    Each step is a projection of its own, so that no lambda computes a row's mask again for each term.
+    """
+    df = df.withColumn("__mask", masks(F.col(keys)))
+    df = df.withColumn("__low", sampled(F.col(keys), F.col("__mask")))
+    df = df.withColumn("__high", sampled(F.col("__low"), F.col("__mask") * 2 + 1))
+    level = F.when(F.size(keys) > 0, F.length(F.regexp_replace(F.bin("__mask"), "0", ""))).otherwise(-1).cast("int")
+    made = F.struct(level.alias("level"), entries(F.col("__low")).alias("low"), entries(F.col("__high")).alias("high"), F.when(F.size(keys) == 0, plain).alias("plain"))
+    return df.withColumn(out, made).drop("__mask", "__low", "__high")
 
 
 def shown(fp: Column) -> Column:
@@ -67,8 +83,8 @@ def likeness(f: Column, g: Column) -> Column:
 
     def share(a: Column, b: Column) -> Column:
         pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
-        same = F.size(F.filter(pairs, lambda p: (p["a"] == p["b"]) & (p["a"] != 0)))
-        either = F.size(F.filter(pairs, lambda p: (p["a"] != 0) | (p["b"] != 0)))
+        same = F.size(F.filter(pairs, lambda p: (p["a"] == p["b"]) & (p["a"] != EMPTY)))
+        either = F.size(F.filter(pairs, lambda p: (p["a"] != EMPTY) | (p["b"] != EMPTY)))
         return F.when(either > 0, same / either).otherwise(0.0)
 
     both = F.concat(f["low"], f["high"]), F.concat(g["low"], g["high"])
@@ -113,7 +129,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", low:
     # a term of the text is an even code, one of the edited text an odd code; code 0 is each row's own, and in the lexicon
     codes = F.concat(F.transform(terms(F.col("text")), lambda t: F.shiftleft(t, 1)), F.transform(terms(F.col("edited")), lambda t: F.shiftleft(t, 1).bitwiseOR(F.lit(1).cast("long"))))
     about = F.struct("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("plain"), F.xxhash64("edited").alias("edited_plain"))
-    found = rows.select("bucket", "pos", about.alias("about"), F.explode(F.array_append(F.array_distinct(codes), F.lit(0).cast("long"))).alias("code"))
+    # two projections: in one, explode would come first and the hashes of whole texts be made again for each code
+    found = rows.select("bucket", "pos", about.alias("about"), F.array_append(F.array_distinct(codes), F.lit(0).cast("long")).alias("codes"))
+    found = found.select("bucket", "pos", "about", F.explode("codes").alias("code"))
     known = known.where("key <> 0").union(spark.range(1).select(F.col("id").alias("key")))
     if known.count() <= BROADCAST_TERMS:
         known = F.broadcast(known)
@@ -125,7 +143,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", low:
         return F.transform(F.filter("codes", lambda c: c.bitwiseAND(1) == flag), lambda c: F.shiftrightunsigned(c, 1))
 
     found = found.select("bucket", "pos", "about", keys(0).alias("k"), keys(1).alias("e"))
-    found = found.select("bucket", "pos", "about", fingerprint(F.col("k"), F.col("about.plain")).alias("fp"), fingerprint(F.col("e"), F.col("about.edited_plain")).alias("ep"))
+    found = with_fingerprint(found, "k", F.col("about.plain"), "fp")
+    found = with_fingerprint(found, "e", F.col("about.edited_plain"), "ep").drop("k", "e")
     found = table(found.withColumn("after", F.lead("fp").over(Window.partitionBy("bucket").orderBy("pos"))), "fingerprints")
     first = found.where("pos = 1").select(F.col("bucket").alias("next_bucket"), F.col("fp").alias("top"))
     ends = next_top.select("bucket", "next_bucket").join(first, "next_bucket").drop("next_bucket")  # one row a range
