@@ -28,7 +28,7 @@ def op4_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.rate(load(spark, sf_dir, "documents")).drop("reason")
+    return quality.rate(load(spark, sf_dir, "documents"), rules=quality.CLEAN).drop("reason")
 
 
 def op6_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

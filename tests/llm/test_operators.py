@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ramify.llm import attribution, components, ctw, imatch, packing, quality, sharding, simhash, substring, warc, word_bpe
+from ramify.llm import attribution, components, ctw, imatch, packing, quality, queries, sharding, simhash, substring, warc, word_bpe
 from ramify.llm.bpe import byte_bpe, default_path
 
 from .conftest import awkward, corpus, make, prose
@@ -293,6 +293,17 @@ def test_bands_reject_what_repeats_and_what_is_random(spark):
     assert {r.doc_id for r in quality.keep_good(make(spark, rows)).collect()} == {1}
 
 
+def test_clean_bands_reject_stuck_on_symbols(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    rows = queries.op5_quality_rules(spark, "/root/testdata/sf0.01").where("not base_failed").collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    junk = {i for i, t in texts.items() if sum(c.isalpha() or c.isspace() for c in t) < 0.8 * len(t)}
+    clean, bad = [r.kept for r in rows if r.doc_id in good], [r.kept for r in rows if r.doc_id in junk]
+    assert sum(clean) >= 0.97 * len(clean) and sum(bad) <= 0.25 * len(bad) and bad
+
+
 def test_keep_good_is_what_rate_keeps(docs, odd, none):
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns
