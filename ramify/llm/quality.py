@@ -22,7 +22,7 @@ class Bands:
     """Compressed size over size. A row of bands holds from its number of UTF-8 bytes on: least and greatest ratio.
 
     Short texts compress worse, so both limits fall with the length; texts under the first row's length have no limits.
-    Chunks have chunk_bytes bytes each; a shorter last chunk counts only where the text has no whole one.
+    Chunks have chunk_bytes bytes each; the last one ends where the text does, and overlaps the one before if need be.
     A text goes if more than bad_share of its chunks are outside the chunk limits.
     """
 
@@ -79,7 +79,8 @@ def ratios(raw: bytes, rules: Bands, press: zstandard.ZstdCompressor) -> tuple[f
     if len(raw) <= rules.chunk_bytes:
         return whole, [whole] if raw else []
     size = rules.chunk_bytes
-    return whole, [len(press.compress(raw[i : i + size])) / size for i in range(0, len(raw) - size + 1, size)]
+    starts = [*range(0, len(raw) - size, size), len(raw) - size]
+    return whole, [len(press.compress(raw[i : i + size])) / size for i in starts]
 
 
 def verdict(size: int, whole: float, low: int, high: int, chunks: int, rules: Bands) -> str | None:

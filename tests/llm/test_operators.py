@@ -1,3 +1,4 @@
+import base64
 import collections
 import hashlib
 import math
@@ -304,6 +305,13 @@ def test_clean_bands_reject_stuck_on_symbols(spark):
     assert sum(clean) >= 0.97 * len(clean) and sum(bad) <= 0.25 * len(bad) and bad
 
 
+def test_chunks_cover_the_tail(spark):
+    clean, junk = prose(8, 900, 5000).replace("é", "e").replace("ö", "o")[:4096], base64.b64encode(random.Random(3).randbytes(4000)).decode()[:4095]
+    got = by_id(quality.rate(make(spark, [(1, clean + junk), (2, junk + clean), (3, clean * 2)])))
+    assert got[1].reason == got[2].reason == "incompressible chunks"
+    assert [got[i].n_chunks for i in (1, 2, 3)] == [2, 2, 2]
+
+
 def test_keep_good_is_what_rate_keeps(docs, odd, none):
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns
