@@ -175,6 +175,19 @@ def test_wide_links_of_short_and_long_lists(spark, shifts, monkeypatch):
 # repeated passages
 
 
+def test_wide_fingerprints_that_share_five_bytes_meet(spark):
+    rnd, rows, want = np.random.default_rng(4), [], set()
+    for i in range(0, 400, 2):
+        one = rnd.integers(0, 256, 32, dtype=np.uint8)
+        other = one ^ (1 << rnd.integers(0, 8, 32)).astype(np.uint8)
+        same = rnd.choice(32, 5, replace=False) if i else np.array([0, 4, 8, 16, 24])
+        other[same] = one[same]
+        rows += [(i + j, *x.view("<i8").tolist()) for j, x in enumerate((one, other))]
+        want.add((i, i + 1))
+    found = simhash.wide_links(spark.createDataFrame(rows, "id long, a long, b long, c long, d long"), 27).collect()
+    assert {tuple(sorted((r.a, r.b))) for r in found} == want
+
+
 def plain_removals(rows, k=20):
     """For each row the words that go, by comparing word sequences."""
     first = {}
