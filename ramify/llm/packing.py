@@ -82,7 +82,9 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], most: int = 64
     """Undominated ways to fill room, least waste first.
 
     A single length that fills it exactly dominates all others. Else no way is kept where a free length fits into the waste,
-    or may take the place of a shorter one that it has: the last length is always the longest that fits.
+    or may take the place of a shorter one that it has: the last length is always the longest that fits. Not all such ways are
+    found: lengths after the third are each the longest that fits, no way is sought after 40 * most lengths tried, and the
+    `most` of least waste are kept.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
     if counts.get(room, 0):
@@ -121,7 +123,8 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 4_000) ->
 
     Depth first: fill around the largest length left, a filling as often as the counts allow. A branch ends when its waste
     rules out fewer sequences than the incumbent, which is best fit at first. The search ends at the bound or after so many
-    nodes, a parameter; the incumbent is then the result, with all documents in it.
+    nodes, a parameter; the incumbent is then the result, with all documents in it. As no filling is taken fewer times than the
+    counts allow, and fillings() doesn't find them all, a result above the bound is not shown to be the least.
     """
     counts = {s: n for s, n in counts.items() if n}
     best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
