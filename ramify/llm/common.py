@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import json
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import load, partitions, shared_dir, written
+
 #: Stands for a null id inside an operator, so that ids can be joined, sorted and hashed like any other.
 NULL_ID = -(2**63)
 
@@ -19,10 +21,6 @@ NULL_ID = -(2**63)
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 def id_in(col: Column | str) -> Column:
     """An id as a long that is never null."""
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("long"), F.lit(NULL_ID))
@@ -38,25 +36,35 @@ def narrow(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(id_in(key).alias("doc_id"), F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b"")).alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ramify-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor costs no rework."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/ramify/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return written(df, name)
+
+
+def rank_in(col: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most the value, by binary search in a constant array: its depth is the logarithm
+    of their number, so thousands of ranges are no deeper an expression than two."""
+    if not bounds:
+        return F.lit(0)
+    at = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
+    steps = F.array(*(F.lit(1 << i) for i in range(len(bounds).bit_length() - 1, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda low, w: F.when(F.coalesce(F.get(at, low + w - 1) <= col, F.lit(False)), low + w).otherwise(low))
+
 
+def range_of(key: Column, spread: Column, bounds: list[int], hot: dict[int, int]) -> Column:
+    """The number of a key's range, rising with the key and then with spread, a number of 31 bits.
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    Ranges begin at the bounds. A hot key, which has so many rows that it is given several ranges, is a range of its own and
+    is divided by spread.
+    """
+    cuts = sorted({*bounds, *hot, *(k + 1 for k in hot if k < 2**63 - 1)})
+    if not hot:
+        return rank_in(key, cuts)
+    many = [1] + [hot.get(c, 1) for c in cuts]
+    first = [0, *accumulate(many[:-1])]
+    at = rank_in(key, cuts)
+    first_of, many_of = (F.get(F.from_json(F.lit(json.dumps(x)), "array<bigint>"), at) for x in (first, many))
+    return (first_of + F.shiftright(spread.cast("long") * many_of, 31)).cast("int")
 
 
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
@@ -90,10 +98,15 @@ def pieces(batch: pa.RecordBatch, at_most: int = 8 << 20) -> Iterator[pa.RecordB
 
 
 def pack_array(a: np.ndarray) -> bytes:
-    """The bytes of all values by place, so that equal high bytes lie together, compressed."""
+    """The bytes of all values by place, so that equal high bytes lie together, compressed; short arrays as they are, after a
+    zero, so that a message of few values is no larger than they."""
+    if a.nbytes < 64:
+        return b"\0" + a.tobytes()
     return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 1)
 
 
 def unpack_array(raw: bytes, kind: type) -> np.ndarray:
+    if raw[:1] == b"\0":  # no frame begins with it
+        return np.frombuffer(raw, kind, offset=1)
     flat = np.frombuffer(zstandard.decompress(raw), np.uint8)
     return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()

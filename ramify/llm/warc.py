@@ -1,8 +1,9 @@
 """WARC archives: a deterministic sharded writer, and a reader of what its manifests list.
 
-Layout under the target folder: shard-SSSSS-NNNNN.warc.gz, one gzip member a record, and shard-SSSSS.json, the manifest of a
-shard, which comes last. Everything is written under a temporary name with the attempt in it and then renamed; a repeated
-attempt writes the same bytes, so whichever rename comes last, the files are the same.
+Layout under the target folder: shard-SSSSS-NNNNN.warc.gz, one gzip member a record; shard-SSSSS.json, the manifest of a shard,
+which comes after its files; and MANIFEST.json, which comes last. Everything is written under a temporary name with the attempt
+in it and then renamed; a repeated attempt writes the same bytes, so whichever rename comes last, the files are the same. A
+folder without MANIFEST.json, or with other shards, files or records than it says, is not read.
 """
 
 from __future__ import annotations
@@ -16,14 +17,18 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, id_in, id_out, partitions, shared_dir
+from .common import arrow_schema, id_in, id_out, partitions, range_of, shared_dir, table
 
 WRITTEN = "shard int, files int, records long, bytes long"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
+#: The total manifest.
+MANIFEST = "MANIFEST.json"
+
 #: A fixed value: archives of the same pages have the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -112,28 +117,71 @@ class _Shard:
         return {"shard": self.number, "files": len(self.files), "records": sum(f["records"] for f in self.files), "bytes": sum(f["bytes"] for f in self.files)}
 
 
+#: What a record has besides its payload, about.
+HEAD_BYTES = 700
+#: Bytes that a task writes, in one shard or in several in turn.
+TASK_BYTES = 128 << 20
+
+
+def cut_ids(slim: DataFrame, low: int, high: int, shards: int, most: int) -> tuple[list[int], dict[int, int]]:
+    """Bounds of ranges of ids (column page_id) with some `most` bytes (column n) each, and ids that alone have more, with the
+    number of ranges that they need.
+
+    A histogram over the leading bits of ids, exact, so that the same pages give the same ranges; cells with too many bytes are
+    divided by six more bits, all at once, until they are single ids. The driver holds some 16 numbers a range.
+    """
+    shift = 0
+    while (high >> shift) - (low >> shift) >= 16 * shards:
+        shift += 1
+
+    def cells(rows: DataFrame, s: int) -> list[tuple[int, int, int]]:
+        return [(int(r.c), s, int(r.b)) for r in rows.groupBy(F.shiftright("page_id", s).alias("c")).agg(F.sum("n").alias("b")).collect()]
+
+    done: list[tuple[int, int, int]] = []
+    todo = cells(slim, shift)
+    while todo:
+        done += [x for x in todo if x[2] <= most or x[1] == 0]
+        heavy = [x[0] for x in todo if x[2] > most and x[1] > 0]
+        if not heavy:
+            break
+        s, before = max(0, todo[0][1] - 6), todo[0][1]
+        own = slim.sparkSession.createDataFrame([(c,) for c in heavy], "c long")
+        todo = cells(slim.join(F.broadcast(own), F.shiftright("page_id", before) == F.col("c"), "left_semi"), s)
+    bounds, hot, size = [], {}, 0
+    for c, s, b in sorted(done, key=lambda x: x[0] << x[1]):
+        if s == 0 and b > most:
+            hot[c] = -(-b // most)
+            size = 0
+            continue
+        if size and size + b > most:
+            bounds.append(c << s)
+            size = 0
+        size += b
+    return bounds, hot
+
+
 def write(pages: DataFrame, target: str, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 1000, shard_bytes: int = 32 << 20, roll_bytes: int = 8 << 20) -> int:
     """Writes a record for each row and gives the number of shards.
 
     Of rows with equal payloads of at least min_bytes bytes the one with the largest id is a response, others revisit it;
     smaller ones are all responses. Null html: an empty payload; null url: an empty one; a null id sorts before all others;
-    rows alike in all are written one by one, and with the largest id they are all responses. Shards are ranges of ids with
-    bounds from quantiles over all ids; an empty table gives no shard.
+    rows alike in all are written one by one, and with the largest id they are all responses. Shards are ranges of ids of about
+    shard_bytes of payload; an id that has more rows than that is divided by the digest. Payloads of any length are one record;
+    a task holds one file and one payload. Other columns are not read. An empty table gives no shard.
     """
     spark = pages.sparkSession
     raw = F.coalesce(F.col(html).cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(id_in(key).alias("page_id"), F.col(url).cast("string").alias("url"), raw.alias("payload"))
-    seen = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("payload")).alias("b")).first()
+    slim = table(rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("n")), "pages")
+    seen = slim.agg(F.count("*").alias("n"), F.sum(F.col("n") + HEAD_BYTES).alias("b"), F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
     if not seen.n:
         return 0
-    shards = max(1, min(seen.n, seen.b // shard_bytes + 1))
-    bounds = sorted(set(rows.agg(F.percentile_approx("page_id", [i / shards for i in range(1, shards)], 100 * shards).alias("b")).first().b)) if shards > 1 else []
-    slim = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n"))
+    weighed = slim.select("page_id", (F.col("n") + HEAD_BYTES).alias("n"))
+    bounds, hot = cut_ids(weighed, seen.low, seen.high, seen.b // shard_bytes + 1, shard_bytes)
     first = slim.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("many")).where("many > 1")
-    later = slim.join(first, ["digest", "n"]).where("page_id <> first").select("page_id", "digest", "first").distinct()
-    shard = F.lit(0)
-    for b in bounds:
-        shard = shard + (F.col("page_id") > b).cast("int")
+    later = slim.join(table(first, "copies"), ["digest", "n"]).where("page_id <> first").select("page_id", "digest", "first").distinct()
+    spread = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(2**31 - 1).cast("long"))
+    shard = range_of(F.col("page_id"), spread, bounds, hot).cast("int")
     # a mark sorts right before the rows that it makes revisits, so payloads are exchanged once
     marks = later.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "first")
     own = rows.select("page_id", "url", "payload", F.sha1("payload").alias("digest"), F.lit(None).cast("long").alias("first"))
@@ -160,36 +208,53 @@ def write(pages: DataFrame, target: str, key: str = "page_id", url: str = "url",
             done.append(open_.close())
         yield pa.RecordBatch.from_pylist(done, schema=schema)
 
-    spread = ready.repartition(max(partitions(spark), len(bounds) + 1), "shard").sortWithinPartitions("shard", "page_id", "digest", F.col("payload").isNotNull(), "url")
-    total = spread.mapInArrow(run, WRITTEN).agg(F.sum("records").alias("n"), F.count("*").alias("shards")).first()
+    tasks = max(partitions(spark), min(seen.b // TASK_BYTES, len(bounds) + sum(hot.values())) + 1)
+    spread = ready.repartition(tasks, "shard").sortWithinPartitions("shard", "page_id", "digest", F.col("payload").isNotNull(), "url")
+    total = spread.mapInArrow(run, WRITTEN).agg(F.sum("records").alias("n"), F.count("*").alias("shards"), F.sum("files").alias("files")).first()
     if total.n != seen.n:
         raise RuntimeError(f"{total.n} records written for {seen.n} pages")
     with home.open_output_stream(f"{path}/_temporary-manifest", compression=None) as out:
-        out.write(json.dumps({"shards": total.shards, "records": total.n}).encode())
-    home.move(f"{path}/_temporary-manifest", f"{path}/_MANIFEST.json")
+        out.write(json.dumps({"shards": total.shards, "files": total.files, "records": total.n}).encode())
+    home.move(f"{path}/_temporary-manifest", f"{path}/{MANIFEST}")
     return total.shards
 
 
 def read(spark: SparkSession, target: str) -> DataFrame:
-    """The records of the files that the manifests list: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null in revisits)."""
+    """The records of the files that the manifests list: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null in revisits).
+
+    Raises at once if MANIFEST.json is missing or doesn't agree with the manifests of shards, and when rows are asked for if a
+    file is missing or differs from its manifest in digest or number of records.
+    """
     schema = arrow_schema(READ)
-    listed = spark.read.schema("shard int, files array<struct<name: string, sha256: string>>").option("wholetext", True).json(f"{target}/shard-*.json")
-    names = listed.select(F.explode("files").alias("f")).select(F.col("f.name").alias("name"), F.col("f.sha256").alias("sha"))
+    try:
+        whole = spark.read.schema("shards long, files long, records long").option("wholetext", True).json(f"{target}/{MANIFEST}").first()
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no {MANIFEST} in {target}: the write has not ended") from e
+    listed = spark.read.schema("shard int, files array<struct<name: string, records: long, sha256: string>>").option("wholetext", True).json(f"{target}/shard-*.json")
+    names = listed.select(F.explode("files").alias("f")).select(F.col("f.name").alias("name"), F.col("f.records").alias("records"), F.col("f.sha256").alias("sha"))
+    found = listed.agg(F.countDistinct("shard").alias("shards"), F.sum(F.size("files")).alias("files"), F.sum(F.aggregate("files", F.lit(0).cast("long"), lambda a, f: a + f["records"])).alias("records")).first()
+    if found != whole:
+        raise ValueError(f"the manifests of shards have {found}, {MANIFEST} {whole}")
     files = spark.read.format("binaryFile").load(f"{target}/shard-*.warc.gz").select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    files = files.join(names, "name").select("content", "sha")
+    files = names.join(files, "name", "left").select("content", "sha", "records", "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                raw = batch.column(0)[i].as_py()
-                if hashlib.sha256(raw).hexdigest() != batch.column(1)[i].as_py():
-                    raise ValueError("an archive differs from its manifest")
-                rows = []
+                raw, sha, records, name = (batch.column(j)[i].as_py() for j in range(4))
+                if raw is None:
+                    raise FileNotFoundError(f"{name} is in a manifest, but not there")
+                if hashlib.sha256(raw).hexdigest() != sha:
+                    raise ValueError(f"{name} differs from its manifest")
+                rows, seen = [], 0
                 for one in members(raw):
                     rows.append(parse(one))
+                    seen += 1
                     if len(rows) == 500:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
                         rows = []
+                if seen != records:
+                    raise ValueError(f"{name} has {seen} records, its manifest {records}")
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.mapInArrow(run, READ)

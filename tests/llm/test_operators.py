@@ -1,6 +1,7 @@
 import base64
 import collections
 import hashlib
+import json
 import math
 import os
 import random
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ramify.llm import attribution, components, ctw, imatch, packing, quality, queries, sharding, simhash, substring, warc, word_bpe
+from ramify.llm import attribution, common, components, ctw, imatch, packing, quality, queries, sharding, simhash, substring, warc, word_bpe
 from ramify.llm.bpe import byte_bpe, default_path
 
 from .conftest import awkward, corpus, make, prose
@@ -438,6 +439,44 @@ def test_warc_writes_the_same_bytes_and_rolls(spark, tmp_path):
     assert {i: bytes(p) for i, p in back.items()} == {i: prose(i, 400).encode() for i in range(40)}
 
 
+def test_warc_of_very_many_shards(spark, tmp_path):
+    rows = [(7 * i + (i > 2500) * 10**9, "u", f"page {i} " * 20, 1, "d", "p") for i in range(5000)]
+    target = f"file://{tmp_path}/many"
+    assert warc.write(spark.createDataFrame(rows, PAGES), target, shard_bytes=800) == 5000
+    assert {r.page_id: bytes(r.payload) for r in warc.read(spark, target).collect()} == {i: h.encode() for i, _, h, *_ in rows}
+
+
+def test_warc_divides_an_id_with_very_many_rows(spark, tmp_path):
+    rows = [(None if i % 2 else i, "u", f"{i} " * 300, 1, "d", "p") for i in range(400)]
+    target = f"file://{tmp_path}/hot"
+    assert warc.write(spark.createDataFrame(rows, PAGES), target, shard_bytes=20_000) > 15
+    sizes = [sum(f["records"] for f in json.loads((tmp_path / "hot" / n).read_text())["files"]) for n in os.listdir(tmp_path / "hot") if n.startswith("shard") and n.endswith("json")]
+    assert max(sizes) < 60 and sum(sizes) == 400
+    assert sorted(bytes(r.payload) for r in warc.read(spark, target).collect()) == sorted(h.encode() for _, _, h, *_ in rows)
+
+
+def test_warc_read_refuses_what_is_not_whole(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", prose(i, 100), 1, "d", "p") for i in range(60)], PAGES)
+    for n, (gone, error) in enumerate([("MANIFEST.json", FileNotFoundError), ("shard-00001.json", ValueError), ("shard-00001-00000.warc.gz", Exception)]):
+        warc.write(df, f"file://{tmp_path}/{n}", shard_bytes=10_000)
+        assert warc.read(spark, f"file://{tmp_path}/{n}").count() == 60
+        os.remove(tmp_path / str(n) / gone)
+        with pytest.raises(error):
+            warc.read(spark, f"file://{tmp_path}/{n}").collect()
+
+
+def test_ranges_by_binary_search(spark):
+    rnd = random.Random(9)
+    bounds, hot = sorted(rnd.sample(range(-1000, 1000), 300)), {5: 3, -(2**63): 2}
+    rows = [(rnd.randint(-1100, 1100), rnd.randrange(2**31)) for _ in range(2000)] + [(5, s) for s in (0, 2**30, 2**31 - 1)] + [(-(2**63), 0), (2**63 - 1, 1)]
+    df = spark.createDataFrame(rows, "k long, s long")
+    assert [r.n for r in df.select(common.rank_in(F.col("k"), bounds).alias("n")).collect()] == [sum(b <= k for b in bounds) for k, _ in rows]
+    got = [r.n for r in df.select(common.range_of(F.col("k"), F.col("s"), bounds, hot).alias("n")).collect()]
+    order = sorted(range(len(rows)), key=lambda i: rows[i])
+    assert all(got[a] <= got[b] for a, b in zip(order, order[1:], strict=False))
+    assert sorted(g for g, (k, _) in zip(got, rows, strict=True) if k == 5)[-3:][0] < max(g for g, (k, _) in zip(got, rows, strict=True) if k == 5)
+
+
 def test_a_damaged_record_is_refused():
     import gzip
 
