@@ -97,6 +97,19 @@ def pieces(batch: pa.RecordBatch, at_most: int = 8 << 20) -> Iterator[pa.RecordB
         yield batch.slice(i, rows)
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """The rows of each key of a partition that is sorted by it."""
+    held: list[dict] = []
+    for b in batches:
+        for r in b.to_pylist():
+            if held and r[key] != held[0][key]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
 def pack_array(a: np.ndarray) -> bytes:
     """The bytes of all values by place, so that equal high bytes lie together, compressed; short arrays as they are, after a
     zero, so that a message of few values is no larger than they."""

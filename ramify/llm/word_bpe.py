@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from .bpe import default_path
 from .common import id_out, pack_array, unpack_array
-from .words import Docs, join_words
+from .words import BLOCK_BYTES, PART_BYTES, Docs, join_words
 
 ENCODED = "doc_id long, ids array<int>, decoded string"
 
@@ -38,13 +38,13 @@ def pieces(path: str) -> dict[int, str]:
     return {i: p for p, i in tokenizer(path).get_vocab(with_added_tokens=True).items()}
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, ids, decoded.
 
     For tokenizers that drop white space and never merge across it, so that a text's ids are those of its words in turn; words
     are split at ASCII white space, and other white space stays in a word, where the tokenizer drops it. Null text: as empty,
-    no ids. Null, tied and repeated ids: each row is encoded for itself. An empty table gives an empty result. Other columns
-    are not read.
+    no ids. Null, tied and repeated ids: each row is encoded for itself. Very long texts are read whole; one is a block by
+    itself. An empty table gives an empty result. Other columns are not read.
     """
     path = path or default_path("word_bpe_49k.json")
 
@@ -63,7 +63,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
             out.append(len(counts).to_bytes(4, "little") + counts + pack_array(np.fromiter(chain.from_iterable(ids[w] for w in ws), np.int32)))
         return out
 
-    def finish(held: Docs, answers: Callable[[], Iterator[tuple[list[bytes], bytes]]]) -> Iterator[pa.RecordBatch]:
+    def finish(held: Docs, answers: Callable[[], Iterator[tuple[list[bytes], bytes]]], _: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         table, piece = pieces(path), {}
         ids: dict[bytes, bytes] = {}
         for ws, told in answers():
@@ -87,4 +87,4 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), lists, pa.array(back, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return join_words(docs, key, text, number, answer, finish, ENCODED).withColumn("doc_id", id_out("doc_id"))
+    return join_words(docs, key, text, number, answer, finish, ENCODED, None, block_bytes, part_bytes).withColumn("doc_id", id_out("doc_id"))

@@ -1,5 +1,6 @@
 import base64
 import collections
+import functools
 import hashlib
 import json
 import math
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ramify.llm import attribution, common, components, ctw, imatch, packing, quality, queries, sharding, simhash, substring, warc, word_bpe
+from ramify.llm import attribution, common, components, ctw, imatch, packing, quality, queries, sharding, simhash, substring, warc, word_bpe, words
 from ramify.llm.bpe import byte_bpe, default_path
 
 from .conftest import awkward, corpus, make, prose
@@ -499,28 +500,29 @@ def plain_kt(bits):
 
 def test_block_estimate_is_sequential_kt():
     for bits in ([0], [1, 1, 0], [0, 1, 1, 1, 0, 1]):
-        z, o = np.array([[float(bits.count(0))]]), np.array([[float(bits.count(1))]])
-        assert math.exp(ctw.block_estimate(z, o)[0, 0]) == pytest.approx(plain_kt(bits), rel=1e-9)
+        z, o = np.array([bits.count(0)]), np.array([bits.count(1)])
+        assert math.exp(ctw.block_estimate(z, o)[0]) == pytest.approx(plain_kt(bits), rel=1e-9)
+    n = np.array([0, 5, ctw._LogGamma.TABLE - 1, ctw._LogGamma.TABLE, 10**7])
+    assert np.allclose(ctw._HALF(n), [math.lgamma(x + 0.5) for x in n.tolist()], rtol=1e-13)
 
 
-def plain_ctw(texts, text, depth, least):
-    """The weighted mixture by recursion over dictionaries, for one text."""
+def plain_ctw(texts, text, depth):
+    """The weighted mixture of all contexts of the training texts by recursion over dictionaries, for one text."""
     pad = bytes([255])
-    seqs = [pad * depth + t.lower() + pad for t in texts]
     counts = collections.defaultdict(collections.Counter)
-    for s in seqs:
+    for t in texts:
+        s = pad * depth + t.lower() + pad
         for i in range(depth, len(s)):
             for d in range(depth + 1):
                 counts[s[i - d : i]][s[i]] += 1
-    nodes = {c for c, n in counts.items() if len(c) == 0 or sum(n.values()) >= least}
     kids = collections.defaultdict(list)
-    for c in nodes:
+    for c in list(counts):
         if c:
             kids[c[1:]].append(c)
 
-    def decide(n, prefix, bit):
+    def decide(c, prefix, bit):
         z = o = 0
-        for b, k in n.items():
+        for b, k in counts[c].items() if c in counts else ():
             if b >> (8 - bit) == prefix:
                 if b >> (7 - bit) & 1:
                     o += k
@@ -531,30 +533,21 @@ def plain_ctw(texts, text, depth, least):
     def log_kt(z, o):
         return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
 
-    def other(c):
-        n = collections.Counter(counts[c])
-        for k in kids[c]:
-            n.subtract(counts[k])
-        return n
-
+    @functools.cache
     def weighted(c, prefix, bit):
-        own = log_kt(*decide(counts[c], prefix, bit))
-        if not kids[c]:
+        own = log_kt(*decide(c, prefix, bit))
+        if len(c) == depth:
             return own
-        below = log_kt(*decide(other(c), prefix, bit)) + sum(weighted(k, prefix, bit) for k in kids[c])
-        return np.logaddexp(own, below) - math.log(2)
+        return np.logaddexp(own, sum(weighted(k, prefix, bit) for k in kids[c])) - math.log(2)
 
     def predict(c, past, prefix, bit):
-        z, o = decide(counts[c], prefix, bit)
+        z, o = decide(c, prefix, bit)
         own = (o + 0.5) / (z + o + 1)
-        if not kids[c]:
+        further = past[len(past) - len(c) - 1 :]
+        if len(c) == depth or not sum(decide(further, prefix, bit)):
             return own
         stay = math.exp(log_kt(z, o) - math.log(2) - weighted(c, prefix, bit))
-        further = past[len(past) - len(c) - 1 :]
-        if further in nodes:
-            return stay * own + (1 - stay) * predict(further, past, prefix, bit)
-        z, o = decide(other(c), prefix, bit)
-        return stay * own + (1 - stay) * (o + 0.5) / (z + o + 1)
+        return stay * own + (1 - stay) * predict(further, past, prefix, bit)
 
     s, total = pad * depth + text.lower() + pad, 0.0
     for i in range(depth, len(s)):
@@ -564,18 +557,43 @@ def plain_ctw(texts, text, depth, least):
     return total
 
 
-def test_ctw_against_recursion(spark):
-    rows = [(i, prose(4, 40)[7 * i : 7 * i + 60]) for i in range(8)] + [(50, None), (51, "")]
-    model = ctw.train(make(spark, rows), depth=4, min_share=1 / 200)
-    texts = [raw(t) for _, t in rows]
-    least = max(2.0, sum(len(t) + 1 for t in texts) / 200)
-    for t in (texts[0], texts[5], b"", "neu è".encode()):
-        assert model.score([t])[0] == pytest.approx(plain_ctw(texts, t, 4, least), abs=1e-3)
+@pytest.mark.parametrize(("depth", "sizes"), [(3, {}), (6, {}), (6, {"block_bytes": 100, "part_bytes": 60}), (7, {"block_bytes": 100})])
+def test_ctw_against_recursion(spark, depth, sizes):
+    rows = [(i, prose(4, 40)[7 * i : 7 * i + 60]) for i in range(12)] + [(50, None), (51, ""), (52, "neu è ÉÈ"), (None, prose(5, 9)), (3, "again"), (3, "again")]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    texts = [raw(t) for i, t in rows if not held(i)]
+    assert 0 < len(texts) < len(rows)
+    got = collections.defaultdict(list)
+    for r in ctw.score(make(spark, rows).repartition(2), depth=depth, **sizes).collect():
+        got[r.doc_id].append(r.score)
+        assert r.bits_per_byte > 0
+    want = collections.defaultdict(list)
+    for i, t in rows:
+        want[i].append(plain_ctw(texts, raw(t), depth))
+    assert {i: sorted(x) for i, x in got.items()} == {i: pytest.approx(sorted(x), rel=1e-6) for i, x in want.items()}
+
 
+def test_ctw_grams_grow_with_the_corpus(spark):
+    sizes = []
+    for n in (40, 160):
+        own = common.narrow(make(spark, [(i, prose(i, 60)) for i in range(n)]), "doc_id", "text")
+        rows = ctw.counted(own, 6, 5, lambda doc: True, most=500).collect()
+        sizes.append(sum(len(ctw._keys(r["keys"])) for r in rows))
+        assert sum(int(ctw.unpack_array(r["counts"], np.int64).sum()) for r in rows) == sum(len(raw(prose(i, 60))) + 1 for i in range(n))
+    assert sizes[1] > 1.5 * sizes[0]
 
-def test_ctw_probabilities_add_up(docs):
-    model = ctw.train(docs, depth=5)
-    assert np.allclose((10.0 ** model.logp.reshape(-1, 256).astype(float)).sum(1)[model.logp.reshape(-1, 256).any(1)], 1, atol=1e-5)
+
+def test_ctw_probabilities_add_up(spark):
+    own = common.narrow(make(spark, [(i, prose(i, 60)) for i in range(20)]), "doc_id", "text")
+    merged = ctw.counted(own, 6, 1, lambda doc: True)
+    row = merged.first()
+    tree = ctw.top_of(merged) | ctw.levels(ctw._keys(row["keys"]), ctw.unpack_array(row["counts"], np.int64), 6, 3)
+    ctw.weigh({d: tree[d] for d in range(3, 7)}, None)
+    for d in range(3, 7):
+        tree[d].predict(tree[d - 1])
+    for context in (ctw._keys(row["keys"])[77] >> np.uint64(8), np.uint64(0x616263646566), np.uint64(0x7A7A7A7A7A7A)):
+        logs = ctw.log_probabilities((context << np.uint64(8)) + np.arange(256, dtype=np.uint64), tree, 6)
+        assert (10.0**logs).sum() == pytest.approx(1)
 
 
 def test_ctw_scores_and_base(docs, odd, none):
@@ -595,21 +613,38 @@ def test_ctw_scores_and_base(docs, odd, none):
 
 
 def test_ctw_prefers_its_own_language(spark):
-    own = [(i, prose(200, 300)[11 * i :]) for i in range(40)]
-    got = by_id(ctw.score(make(spark, own)))
-    bits = [-r.score / math.log10(2) / (len(raw(dict(own)[i])) + 1) for i, r in got.items() if r.held_out]
-    model = ctw.train(make(spark, own))
     rnd = random.Random(1)
-    noise = "".join(chr(rnd.randrange(97, 123)) for _ in range(2000)).encode()
-    assert max(bits) < 3 < -model.score([noise])[0] / math.log10(2) / 2001
+    noise = "".join(chr(rnd.randrange(97, 123)) for _ in range(2000))
+    own = [(i, prose(200, 300)[11 * i :]) for i in range(40)]
+    out = next(i for i in range(100, 200) if ctw.held_out(i))
+    got = by_id(ctw.score(make(spark, [*own, (out, noise)])))
+    assert max(r.bits_per_byte for i, r in got.items() if r.held_out and i != out) < 3 < got[out].bits_per_byte
 
 
-def test_long_texts_are_scored_in_pieces(docs, monkeypatch):
-    model = ctw.train(docs, depth=4)
-    texts = [raw(t) for _, t in corpus()]
-    whole = model.score(texts)
+def test_long_texts_are_cut_into_pieces_with_their_context(monkeypatch):
+    held = [(i, raw(t)) for i, t in corpus()]
+    whole = np.sort(np.concatenate([s.keys(6) for s in ctw.segments(iter(held), 6)]))
     monkeypatch.setattr(ctw, "SEGMENT", 97)
-    assert np.allclose(model.score(texts), whole)
+    assert (np.sort(np.concatenate([s.keys(6) for s in ctw.segments(iter(held), 6)])) == whole).all()
+
+
+def test_messages_grow_no_faster_than_distinct_words(spark):
+    seen = []
+    for n in (60, 120):  # with the parts growing, too
+        texts = [raw(prose(i, 100, 3000)) for i in range(n)]
+        held = [(i, t) for i, t in enumerate(texts)]
+        blocks = [held[i : i + 5] for i in range(0, n, 5)]
+        parts = n * 20
+        sent = [sum(1 for _ in words.words_by_part(dict.fromkeys(w for _, t in b for w in t.split()), parts)) for b in blocks]
+        most = [len({w for _, t in b for w in t.split()}) for b in blocks]
+        assert all(a <= b for a, b in zip(sent, most, strict=True))
+        seen.append(sum(sent))
+    assert seen[1] < 2.5 * seen[0]
+
+
+def test_word_bpe_in_many_blocks(docs):
+    one, many = (sorted(map(tuple, word_bpe.encode(docs, **sizes).collect())) for sizes in ({}, {"block_bytes": 2000, "part_bytes": 5000}))
+    assert one == many
 
 
 # packing
