@@ -6,10 +6,12 @@ import json
 import math
 import os
 import random
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -49,9 +51,78 @@ def test_imatch_edits_and_neighbours(docs):
     assert sum(r.near_edited for r in long) > sum(r.near_next for r in long)
 
 
-def test_imatch_is_native(docs):
-    plan = imatch.fingerprints(docs)._jdf.queryExecution().toString()  # noqa: SLF001
-    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+def spark_hash(raw_, seed=42):
+    return xxhash.xxh64_intdigest(raw_, seed)
+
+
+def plain_imatch(rows, low=1 / 5000, high=1 / 20, least=3, subsets=16, levels=5, seed=42):
+    """Fingerprints as entries, and likenesses, by sets of words."""
+    eight = lambda x: struct.pack("<Q", x & (1 << 64) - 1)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words = lambda t: {w for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w}
+    texts = {t or "" for _, t in rows}
+    df = collections.Counter(w for t in texts for w in words(t))
+    band = {w: spark_hash(w.encode()) >> 1 for w, c in df.items() if low * len(texts) <= c <= max(high * len(texts), least)}
+
+    def entry(ts):
+        h = 42
+        for t in sorted(ts):
+            h = spark_hash(eight(t), h)
+        return signed(h) % 65535 + 1 if ts else 0
+
+    def fp(t):
+        own = {band[w] for w in words(t) if w in band}
+        parts = [[entry({x for x in own if spark_hash(eight(j + seed), spark_hash(eight(x))) % 4**n == 0}) for j in range(subsets)] for n in range(1, levels + 1)]
+        return entry(own), parts, None if own else t
+
+    def like(f, g):
+        if f[2] is not None and g[2] is not None:
+            return float(f[2] == g[2])
+        tally = [(sum(x == y != 0 for x, y in zip(a, b, strict=True)), sum((x or y) != 0 for x, y in zip(a, b, strict=True))) for a, b in zip([[f[0]], *f[1]], [[g[0]], *g[1]], strict=True)]
+        full = [x for x in tally[1:] if 2 * x[1] >= subsets]
+        same, either = full[-1] if full else map(sum, zip(*tally, strict=True))
+        return same / either
+
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: -x[0])
+    out = {}
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        cut = len(t) // 3
+        f, e = fp(t), fp(t[: len(t) - cut] + nxt[:cut])
+        text = lambda f: f"{f[0]:04x}" + "".join(f"{x:04x}" for p in f[1] for x in p) if f[2] is None else f"x{spark_hash(f[2].encode()):016x}"
+        out[i] = (text(f), text(e), pytest.approx(like(f, e)), pytest.approx(like(f, fp(nxt))))
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{}, {"low": 0.02, "high": 0.4}, {"subsets": 4, "levels": 2, "seed": 7, "broadcast_rows": 0}])
+def test_imatch_against_sets_of_words(docs, sizes):
+    got = {r.doc_id: (r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in imatch.fingerprints(docs, **sizes).collect()}
+    assert got == plain_imatch(corpus(), **{k: v for k, v in sizes.items() if k != "broadcast_rows"})
+
+
+def test_imatch_of_few_documents_and_of_very_many_copies(spark):
+    few = imatch.fingerprints(make(spark, [(i, prose(i, 120, 3000)) for i in range(12)])).collect()
+    assert all(0 < r.near_edited < 1 and r.near_next < r.near_edited for r in few)
+    copies = [(i, prose(500, 120, 3000)) if i % 3 == 0 else (i, prose(i, 120, 3000)) for i in range(120)]
+    got = imatch.fingerprints(make(spark, copies)).collect()
+    assert all(r.near_edited > 0 for r in got if r.doc_id % 3 == 0) and len({r.fingerprint for r in got}) == 81
+
+
+def test_imatch_of_an_id_with_very_many_rows(spark):
+    rows = [(None if i % 3 else i, prose(i, 40)) for i in range(150)]
+    got = imatch.fingerprints(make(spark, rows)).collect()
+    want = collections.Counter((i, len(t)) for i, t in rows)
+    assert collections.Counter((r.doc_id, r.n_chars) for r in got) == want
+    # the rows are one ring: each text is the next of one row
+    starts = collections.Counter(hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest() for (_, t) in rows for (_, n) in rows)
+    assert all(r.edited_sha256 in starts for r in got)
+
+
+def test_imatch_is_native(docs, monkeypatch):
+    plans = []
+    keep = imatch.table
+    monkeypatch.setattr(imatch, "table", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or keep(df, name))  # noqa: SLF001
+    plans.append(imatch.fingerprints(docs)._jdf.queryExecution().toString())  # noqa: SLF001
+    assert len(plans) == 5 and not any(x in plan for x in ("Python", "Pandas", "Arrow") for plan in plans)
 
 
 def test_imatch_lexicon_band(spark):
@@ -138,9 +209,25 @@ def test_simhash_awkward_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def plain_wide(text, k=5):
+    """256 bits as one number: four SplitMix64 mixes of each shingle's hash, counted bit by bit."""
+    words, mask = raw(text).lower().split(), (1 << 64) - 1
+    grams = [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+    counts = [0] * 256
+    for g in grams:
+        h = xxhash.xxh64_intdigest(g, 42)
+        for w in range(4):
+            z = (h + (w + 1) * 0x9E3779B97F4A7C15) & mask
+            z = (z ^ (z >> 30)) * 0xBF58476D1CE4E5B9 & mask
+            z = (z ^ (z >> 27)) * 0x94D049BB133111EB & mask
+            z ^= z >> 31
+            for b in range(64):
+                counts[64 * w + b] += z >> b & 1
+    return sum(1 << b for b in range(256) if 2 * counts[b] > len(grams))
+
+
 def plain_similar(rows):
-    wide = [simhash.wide_fingerprint(raw(t), 5) for _, t in rows]
-    return plain_groups(wide, lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b, strict=True)) <= 52)
+    return plain_groups([plain_wide(t) for _, t in rows], lambda a, b: (a ^ b).bit_count() <= 52)
 
 
 def test_keep_one_keeps_all_columns_and_one_of_each(docs, odd):
