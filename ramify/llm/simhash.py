@@ -139,7 +139,9 @@ def classes(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     own = table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     joined = own.join(components(links(own.select("fp"), max_bits)), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = table(joined, "components")
-    return joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    # a written table, not an aggregation, beside the other side: so adaptive execution splits a component with very many rows
+    least = table(joined.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    return joined.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
@@ -147,7 +149,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     Equal fingerprints are one node, so copies make no pairs. Null text or no words: fingerprint zero, linked like any other.
     A null id is never a component_id unless the component has no other; repeated rows each get a row; an empty table gives
-    an empty result. Other columns are not read.
+    an empty result. Very long texts are hashed whole, in slices of their shingles. Other columns are not read.
     """
     fps = table(docs.select(F.col(key).cast("long").alias("doc_id"), fingerprint_column(F.col(text), shingle).alias("fp")), "simhash")
     return fps.join(classes(fps, max_bits).drop("root"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -306,16 +308,17 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     Rows are near-duplicates if the cosine similarity of their shingles is at least `similarity` by their 256-bit SimHash;
     groups are what such links connect. Three of 64 bits, as in near_duplicates(), would be a similarity of 0.99. Null text: as
     empty, which is like any text without words. A null id is only kept where a group has no other. Of rows in a group that
-    share the smallest id one stays. An empty table stays empty.
+    share the smallest id one stays, that of the least hash. Very long texts are hashed whole. An empty table stays empty.
     """
     hashed = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
     fps = docs.select(F.col(key).cast("long").alias("doc_id"), hashed.alias("th"), wide_column(F.col(text), shingle).alias("w")).select("doc_id", "th", "w.*")
     fps = table(fps.withColumn("id", F.xxhash64(*WIDE)), "simhash")
-    own = table(fps.groupBy("id", *WIDE).agg(F.min("doc_id").alias("least")), "fingerprints")
-    found = own.join(components(wide_links(own.drop("least"), bits_apart(similarity))), F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root"))
-    found = table(found, "components")
-    found = found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("id", "root", "component_id")
-    first = fps.join(found, "id").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("th").alias("__ramify_th"), F.min("component_id").alias("__ramify_id")).drop("root")
+    own = table(fps.select("id", *WIDE).distinct(), "fingerprints")
+    found = own.join(components(wide_links(own, bits_apart(similarity))), F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
+    found = table(found, "components").select("id", "root")
+    # the least of a group by partial sums: no join by group, which a group with a third of all rows would make one task
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    first = fps.join(found, "id").groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.th").alias("__ramify_th"), F.col("x.doc_id").alias("__ramify_id"))
     marked = docs.withColumn("__ramify_own", hashed)
     kept = marked.join(first, (F.col("__ramify_own") == F.col("__ramify_th")) & F.col(key).cast("long").eqNullSafe(F.col("__ramify_id")), "left_semi")
     return kept.dropDuplicates([key, "__ramify_own"]).drop("__ramify_own")
