@@ -48,7 +48,14 @@ def rank_in(col: Column, bounds: list[int]) -> Column:
         return F.lit(0)
     at = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
     steps = F.array(*(F.lit(1 << i) for i in range(len(bounds).bit_length() - 1, -1, -1)))
-    return F.aggregate(steps, F.lit(0), lambda low, w: F.when(F.coalesce(F.get(at, low + w - 1) <= col, F.lit(False)), low + w).otherwise(low))
+
+    def step(own: Column, w: Column) -> Column:
+        low = own["low"]
+        return F.struct(F.when(F.coalesce(F.get(at, low + w - 1) <= own["value"], F.lit(False)), low + w).otherwise(low).alias("low"), own["value"].alias("value"))
+
+    # the value is in the state: a column inside the lambda loses its way when joins infer filters from an alias of this
+    start = F.struct(F.lit(0).alias("low"), col.cast("long").alias("value"))
+    return F.aggregate(steps, start, step, lambda own: own["low"])
 
 
 def range_of(key: Column, spread: Column, bounds: list[int], hot: dict[int, int]) -> Column:
