@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 import regex
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -375,6 +376,34 @@ def plain_quality(text):
     return len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(again)
 
 
+def plain_kept(text, rules=quality.CLEAN):
+    """The verdict by the words of the rules: base rule, band of the whole text, share of chunks outside their band."""
+    n, _, _, _, repeat = plain_quality(text)
+    b = raw(text)
+    if n < 50 or 100 * repeat > 50 * n:
+        return False
+    ratio = lambda x: len(zstandard.ZstdCompressor(level=3, write_checksum=False).compress(x)) / len(x)
+    band = [(low, high) for size, low, high in rules.bands if len(b) >= size][-1:]
+    if not all(low <= ratio(b) <= high for low, high in band):
+        return False
+    chunks = [b[i : i + 4096] for i in range(0, len(b), 4096)] if band and len(b) > 4096 else []
+    if chunks and len(chunks[-1]) < 4096:
+        chunks[-1] = b[-4096:]
+    found = [ratio(c) for c in chunks]
+    low, high = rules.chunk_band
+    return sum(x < low for x in found) <= 0.25 * len(found) and sum(x > high for x in found) <= 0.25 * len(found)
+
+
+def test_kept_against_the_words_of_the_rules(spark, docs):
+    got = by_id(queries.op5_quality_rules(spark, "/root/testdata/sf0.001"))
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    want = {r.doc_id: plain_kept(r.text) for r in rows}
+    assert {i: r.kept for i, r in got.items()} == want and 0 < sum(want.values()) < len(want)
+    assert sum(not r.base_failed and not r.kept for r in got.values()) > 0
+    wide = by_id(quality.rate(docs))
+    assert {i: wide[i].kept for i, _ in corpus()} == {i: plain_kept(t, quality.Bands()) for i, t in corpus()}
+
+
 def test_quality_counts(docs, odd, none):
     got = by_id(quality.rate(docs))
     for i, t in corpus():
