@@ -18,8 +18,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the word rules and the compression bands."""
-    return quality.keep_good(docs)
+    """Documents that pass the word rules and the compression bands of clean prose."""
+    return quality.keep_good(docs, rules=quality.CLEAN)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
