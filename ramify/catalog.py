@@ -96,15 +96,39 @@ def quicksort_array_step(spark: SparkSession, d: str) -> DataFrame:
 WITH r AS (SELECT c_nationkey, list_sort(list(c_custkey) FILTER (c_custkey % 2 = 0)) AS a, list_sort(list(c_custkey) FILTER (c_custkey % 2 = 1)) AS b FROM customer GROUP BY 1)
 SELECT c_nationkey, unnest(range(len(list_concat(a, b)))) AS pos, unnest(list_sort(list_concat(a, b))) AS c_custkey FROM r""")
 def merge_arrays(spark: SparkSession, d: str) -> DataFrame:
-    even, odd = (F.collect_list(F.when(F.col("c_custkey") % 2 == i, F.col("c_custkey"))) for i in (0, 1))
-    own = load(spark, d, "customer").groupBy("c_nationkey").agg(sorting.sort_array(even).alias("a"), sorting.sort_array(odd).alias("b"))
-    return own.select("c_nationkey", F.posexplode(sorting.merge_arrays(F.col("a"), F.col("b"))).alias("pos", "c_custkey")).withColumn("pos", F.col("pos").cast("long"))
+    """Two sorted runs of each nation, merged by rank: a nation with a third of all customers is no array."""
+    own = load(spark, d, "customer").select("c_nationkey", "c_custkey")
+    at = sorting.merge_runs([own.where(F.col("c_custkey") % 2 == i) for i in (0, 1)], ["c_custkey"], run="c_nationkey")
+    return at.select("c_nationkey", (F.col("rank") - 1).alias("pos"), "c_custkey")
 
 
-@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS out_of_order, CAST(0 AS BIGINT) AS gaps FROM orders")
+@query("""
+WITH s AS (SELECT o_custkey, lead(o_custkey) OVER (ORDER BY o_custkey, o_orderkey) AS nxt FROM orders), u AS (SELECT o_custkey, lead(o_custkey) OVER (ORDER BY o_orderkey) AS nxt FROM orders)
+SELECT 'by customer' AS sorted_by, count(*) AS n, count(*) FILTER (nxt < o_custkey) AS out_of_order, count(*) - count(nxt) - 1 AS gaps FROM s
+UNION ALL SELECT 'by order', count(*), count(*) FILTER (nxt < o_custkey), count(*) - count(nxt) - 1 FROM u""")
 def verify_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in their own order, and in that of orders, where neighbours are out of order."""
     own = load(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return sorting.verify(sorting.sort_global(own, ["o_custkey", "o_orderkey"]), "rank", "o_custkey")
+    orders = {"by customer": ["o_custkey", "o_orderkey"], "by order": ["o_orderkey"]}
+    found = [sorting.verify(sorting.sort_global(own, o), "rank", "o_custkey").select(F.lit(n).alias("sorted_by"), "*") for n, o in orders.items()]
+    return found[0].union(found[1])
+
+
+@query("""
+WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS r FROM orders), b AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS r FROM orders WHERE o_orderkey % 10 <> 0)
+SELECT count(*) AS n, count(*) FILTER (a.r IS NULL) AS missing, count(*) FILTER (b.r IS NULL) AS surplus, count(*) FILTER (a.r <> b.r) AS differ FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey""")
+def verify_result(spark: SparkSession, d: str) -> DataFrame:
+    """A result against an expected one that lacks rows and has other ranks."""
+    own = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    got = sorting.sort_global(own, ["o_custkey", "o_orderkey"])
+    return sorting.differences(got, sorting.sort_global(own.where("o_orderkey % 10 <> 0"), ["o_totalprice", "o_orderkey"]), ["o_orderkey"], "rank")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q, row_number() OVER (ORDER BY (l_linenumber, l_partkey, l_orderkey, l_suppkey, l_quantity)) AS rank FROM lineitem")
+def sort_tuple_key(spark: SparkSession, d: str) -> DataFrame:
+    """One key that is a tuple."""
+    own = load(spark, d, "lineitem").select(*LINE, quantity().alias("q"))
+    return sorting.sort_global(own, [F.struct("l_linenumber", "l_partkey", "l_orderkey", "l_suppkey", "q")])
 
 
 @query("SELECT n_regionkey, array_to_string(list_sort(list(n_name)), ',') AS names FROM nation GROUP BY 1")
@@ -150,6 +174,8 @@ def vector_add_padded(spark: SparkSession, d: str) -> DataFrame:
     return own.select("vec_id", F.posexplode(reduction.add_padded(F.col("a"), short)).alias("pos", "x")).withColumn("x", F.round("x", 4))
 
 
+FIB = "WITH RECURSIVE f AS (SELECT 0 AS n, CAST(0 AS HUGEINT) AS a, CAST(1 AS HUGEINT) AS b UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 30)"
+
 # recursion trees and labels
 
 TREE = f"""
@@ -189,7 +215,8 @@ def dnc_slices(spark: SparkSession, d: str) -> DataFrame:
     return tree.slices(_tree(spark, d), own.withColumn("pos", F.col("rank") - 1), "pos", "o_custkey")
 
 
-@query(TREE + f"SELECT level, count(*) AS fanouts, count(*) AS invoked, count(*) AS becomes FROM t WHERE hi - lo + 1 > {THRESHOLD} GROUP BY 1")
+@query(TREE + """, k AS (SELECT parent_id, count(*) AS n FROM t WHERE parent_id IS NOT NULL GROUP BY 1)
+SELECT level, count(*) AS fanouts, CAST(sum(n - 1) AS BIGINT) AS invoked, count(n) AS becomes FROM t JOIN k ON k.parent_id = t.problem_id GROUP BY 1""")
 def fanout_counts(spark: SparkSession, d: str) -> DataFrame:
     return tree.fanout_counts(_tree(spark, d))
 
@@ -210,9 +237,74 @@ def program_partial_sums(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT '[0,1]' AS problem_id, unnest(range(count(*))) AS pos, unnest(list_sort(list(o_custkey))) AS o_custkey FROM orders")
 def program_merge_sort(spark: SparkSession, d: str) -> DataFrame:
-    """A user program over arrays, down to leaves of 99 elements and up to the root."""
-    out = program.execute(program.MERGE_SORT, _positions(spark, d), "pos", "o_custkey")
-    return out.select("problem_id", F.posexplode("result").alias("pos", "o_custkey")).withColumn("pos", F.col("pos").cast("long"))
+    """A user program whose root result is the sorted table, as ranked rows."""
+    out = program.execute_sort(load(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey")
+    return out.withColumnRenamed("value", "o_custkey")
+
+
+@query("SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) - 1 AS pos, o_totalprice AS price FROM orders")
+def program_quicksort(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's prices, in order of arrival, sorted by recursion about the last one."""
+    own = load(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("a"))
+    roots = own.select(F.concat(F.lit("["), F.col("o_custkey").cast("string"), F.lit(",1]")).alias("problem_id"), F.transform("a", lambda x: x["o_totalprice"]).alias("problem"))
+    out = program.solve(program.QUICKSORT, roots).select(F.regexp_extract("problem_id", r"\[(\d+),", 1).cast("long").alias("o_custkey"), F.posexplode("result").alias("pos", "price"))
+    return out.withColumn("pos", F.col("pos").cast("long"))
+
+
+def _fibonacci_roots(spark: SparkSession, d: str, most: int) -> DataFrame:
+    label = F.concat(F.lit("["), F.col("n_nationkey").cast("string"), F.lit(",1]"))
+    return load(spark, d, "nation").where(F.col("n_nationkey") <= most).select(label.alias("problem_id"), F.col("n_nationkey").cast("long").alias("problem"))
+
+
+@query(FIB + " SELECT '[' || n || ',1]' AS problem_id, CAST(a AS BIGINT) AS result FROM nation JOIN f ON n = n_nationkey WHERE n <= 10")
+def program_fibonacci(spark: SparkSession, d: str) -> DataFrame:
+    """The naive call tree, divided and combined level by level."""
+    return program.solve(program.FIBONACCI, _fibonacci_roots(spark, d, 10))
+
+
+@query(FIB + " SELECT '[' || n || ',1]' AS problem_id, CAST(a AS BIGINT) AS result FROM nation JOIN f ON n = n_nationkey WHERE n <= 16")
+def program_fibonacci_memo(spark: SparkSession, d: str) -> DataFrame:
+    """The same with memo labels: each value is divided once for all roots."""
+    return program.solve(program.FIBONACCI_MEMO, _fibonacci_roots(spark, d, 16))
+
+
+K_WAY = f"""
+WITH RECURSIVE n AS (SELECT count(*) AS n FROM orders),
+t AS (
+  SELECT 0 AS level, CAST(0 AS BIGINT) AS lo, n - 1 AS hi FROM n
+  UNION ALL
+  SELECT level + 1, lo + (hi - lo + 1) * i // 3, lo + (hi - lo + 1) * (i + 1) // 3 - 1 FROM t, (SELECT unnest([0, 1, 2]) AS i) WHERE hi - lo + 1 > {THRESHOLD})
+"""  # noqa: S608
+
+
+def _k_way(spark: SparkSession, d: str) -> tuple[program.Recursion, DataFrame]:
+    whole = F.struct(F.lit(0).cast("long").alias("low"), (F.count("*") - 1).alias("high"))
+    return program.k_way_sum(3, THRESHOLD), load(spark, d, "orders").agg(whole.alias("problem")).select(F.lit("[0,1]").alias("problem_id"), "problem")
+
+
+@query("SELECT '[0,1]' AS problem_id, count(*) * (count(*) - 1) // 2 AS result FROM orders")
+def program_fanout_k(spark: SparkSession, d: str) -> DataFrame:
+    """The sum of all positions, by a program that divides three ways."""
+    return program.solve(*_k_way(spark, d))
+
+
+@query(K_WAY + f"SELECT level, count(*) AS problems, count(*) FILTER (hi - lo + 1 <= {THRESHOLD}) AS leaves, CAST(sum(hi - lo + 1) AS BIGINT) AS elements FROM t GROUP BY 1")
+def program_fanout_k_levels(spark: SparkSession, d: str) -> DataFrame:
+    """What that program does at each level."""
+    levels = program.expand(*_k_way(spark, d))
+    out = levels[0]
+    for at in levels[1:]:
+        out = out.union(at)
+    size = F.col("problem.high") - F.col("problem.low") + 1
+    return out.groupBy("level").agg(F.count("*").alias("problems"), F.count_if("is_leaf").alias("leaves"), F.sum(size).alias("elements"))
+
+
+@query(TREE + f""", r AS (SELECT o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders)
+SELECT problem_id, lo AS from_idx, hi AS to_idx, count(*) AS n, arg_min(o_custkey, pos) AS first_value, arg_max(o_custkey, pos) AS last_value, CAST(sum(o_custkey) AS BIGINT) AS total
+FROM t JOIN r ON pos BETWEEN lo AND hi WHERE level = 2 OR level < 2 AND hi - lo + 1 <= {THRESHOLD} GROUP BY 1, 2, 3""")
+def dnc_inputs_at_level(spark: SparkSession, d: str) -> DataFrame:
+    """Inputs are given out at level 2, to problems that are then divided further without input of their own."""
+    return tree.slices(_tree(spark, d), _positions(spark, d), "pos", "o_custkey", level=2)
 
 
 @query(TREE + "SELECT problem_id, problem_id || '[0,2]' AS first_child, problem_id || '[1,2]' AS second_child FROM t")
@@ -254,7 +346,6 @@ def sibling_join(spark: SparkSession, d: str) -> DataFrame:
 
 # Fibonacci and memoization
 
-FIB = "WITH RECURSIVE f AS (SELECT 0 AS n, CAST(0 AS HUGEINT) AS a, CAST(1 AS HUGEINT) AS b UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 30)"
 CALLS = """
 WITH RECURSIVE c AS (SELECT 0 AS level, {n} AS value UNION ALL SELECT level + 1, value - s FROM c, (SELECT unnest([1, 2]) AS s) WHERE value > 1)
 """
@@ -387,6 +478,49 @@ def channel_send_receive(spark: SparkSession, d: str) -> DataFrame:
     return sync.bounded_buffer(*_dw(spark, d), capacity=1)
 
 
+@query("""
+WITH e AS (SELECT event_id, ts, event_type, CASE event_type WHEN 'click' THEN ['V'] WHEN 'view' THEN ['P'] ELSE ['V', 'P'] END AS ks FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+x AS (SELECT event_id, ts, unnest(ks) AS kind, unnest(range(len(ks))) AS step FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ts, event_id, step) AS k FROM x), p AS (SELECT * FROM r WHERE kind = 'P'), v AS (SELECT * FROM r WHERE kind = 'V')
+SELECT p.event_id, p.k, greatest(0, p.k - 3) AS needs, CASE WHEN p.k <= 3 THEN p.ts WHEN v.ts IS NOT NULL THEN greatest(p.ts, v.ts) END AS goes_on FROM p LEFT JOIN v ON v.k = p.k - 3""")
+def semaphore_vp(spark: SparkSession, d: str) -> DataFrame:
+    """With a call that is a V and then a P."""
+    log = load(spark, d, "events").where(F.col("event_type").isin("view", "click", "purchase")).select("event_id", "event_type", "ts")
+    both = sync.with_both(log, F.when(F.col("event_type") == "click", "V").when(F.col("event_type") == "view", "P").otherwise("VP"))
+    return sync.semaphore_waits(both, [], "ts", "event_id", F.col("kind"), 3, ("step",))
+
+
+BICHANNEL = """
+WITH r AS (
+  SELECT event_id, event_type IN ('purchase', 'click') AS sends, user_id % 16 AS name, CASE WHEN event_type IN ('purchase', 'view') THEN 'out' ELSE 'back' END AS direction, ts,
+    row_number() OVER (PARTITION BY user_id % 16, event_type ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('purchase', 'view', 'click', 'signup')),
+c AS (
+  SELECT coalesce(a.name, b.name) AS name, coalesce(a.direction, b.direction) AS direction, coalesce(a.k, b.k) AS k, a.event_id AS deposit, b.event_id AS withdrawal, a.ts AS offered, b.ts AS asked
+  FROM (SELECT * FROM r WHERE sends) a FULL JOIN (SELECT * FROM r WHERE NOT sends) b ON a.name = b.name AND a.direction = b.direction AND a.k = b.k),
+m AS (SELECT *, CASE WHEN bool_and(offered IS NOT NULL AND asked IS NOT NULL) OVER l THEN max(greatest(offered, asked)) OVER l END AS withdrawn FROM c WINDOW l AS (PARTITION BY name, direction ORDER BY k ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, lag(withdrawn) OVER (PARTITION BY name, direction ORDER BY k) AS freed FROM m)
+SELECT name, direction, k, deposit, withdrawal, CASE WHEN offered IS NULL THEN NULL WHEN k <= 1 THEN offered WHEN freed IS NOT NULL THEN greatest(offered, freed) END AS deposited, withdrawn FROM f
+"""
+
+
+@query(BICHANNEL)
+def bichannel_send_receive(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.col("event_type")
+    log = load(spark, d, "events").where(kinds.isin("purchase", "view", "click", "signup"))
+    log = log.select("event_id", "event_type", (F.col("user_id") % 16).alias("name"), F.when(kinds.isin("purchase", "view"), "out").otherwise("back").alias("direction"), "ts")
+    return sync.bichannel(log, ["name"], "direction", "ts", "event_id", F.when(kinds.isin("purchase", "click"), "D").otherwise("W"))
+
+
+@query("""
+WITH s AS (
+  SELECT event_id, user_id, event_type = 'purchase' AS delivers, CAST(count(*) FILTER (event_type <> 'purchase') OVER o AS BIGINT) AS promised, CAST(count(*) FILTER (event_type = 'purchase') OVER o AS BIGINT) AS delivered
+  FROM events WHERE event_type IN ('purchase', 'signup') WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, user_id, promised, delivered, CASE WHEN promised = 0 THEN 'unknown label' WHEN delivered > 1 THEN 'double delivery' END AS violation FROM s WHERE delivers""")
+def memo_violations(spark: SparkSession, d: str) -> DataFrame:
+    log = load(spark, d, "events").where(F.col("event_type").isin("purchase", "signup"))
+    return memo.violations(log, "user_id", "ts", "event_id", F.col("event_type") == "purchase")
+
+
 # the same over streams
 
 
@@ -424,6 +558,13 @@ def stream_semaphore(spark: SparkSession, d: str) -> DataFrame:
     return replay.drained(replay.semaphore(own, 3), "stream-semaphore")
 
 
+@query(BUFFER + "SELECT CAST(name AS VARCHAR) AS name, k, deposit, withdrawal, greatest(offered, asked) AS passed FROM c WHERE offered IS NOT NULL AND asked IS NOT NULL")
+def stream_buffer(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.when(F.col("event_type") == "purchase", "D").otherwise("W")
+    own = _event_stream(spark, d).where(F.col("event_type").isin("purchase", "view")).select((F.col("user_id") % 16).cast("string").alias("name"), "event_id", "ts", kinds.alias("kind"))
+    return replay.drained(replay.buffer(own), "stream-buffer")
+
+
 # trials
 
 
@@ -488,12 +629,38 @@ def compare_systems(spark: SparkSession, d: str) -> DataFrame:
     return _both(spark, d).select("problem", "n1", "n2", F.round("m1", 4).alias("m1"), F.round("m2", 4).alias("m2"), (F.col("m1") < F.col("m2")).alias("first_is_faster"))
 
 
-@query()
+#: Student's t in SQL: the density integrated by Simpson's rule over 400 steps, and its quantile by bisection.
+STUDENT = BOTH + """,
+s AS (SELECT *, {df} AS df, (m1 - m2) / sqrt(s1 / n1 + s2 / n2) AS t, sqrt(((n1 - 1) * s1 + (n2 - 1) * s2) / (n1 + n2 - 2)) AS pooled FROM b),
+c AS (SELECT *, exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) AS front FROM s),
+q AS (
+  WITH RECURSIVE h AS (
+    SELECT problem, df, front, CAST(0 AS DOUBLE) AS low, CAST(64 AS DOUBLE) AS high, 0 AS i FROM c
+    UNION ALL
+    SELECT problem, df, front, CASE WHEN {area} < 0.475 THEN (low + high) / 2 ELSE low END, CASE WHEN {area} < 0.475 THEN high ELSE (low + high) / 2 END, i + 1 FROM h WHERE i < 50)
+  SELECT problem, (low + high) / 2 AS t_crit FROM h WHERE i = 50),
+w AS (SELECT c.*, q.t_crit, 1 - 2 * {p} AS p FROM c JOIN q ON c.problem = q.problem)
+"""
+
+
+def _area(x: str) -> str:
+    """The integral of the density from 0 to x."""
+    point = f"power(1 + power({x} * j / 400.0, 2) / df, -(df + 1) / 2)"
+    return f"(front * {x} / 1200.0 * list_sum([(CASE WHEN j = 0 OR j = 400 THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) * {point} FOR j IN range(401)]))"
+
+
+def _student(df: str) -> str:
+    return STUDENT.format(df=df, area=_area("((low + high) / 2)"), p=_area("abs(t)"))
+
+
+@query(_student(DF) + """, i AS (SELECT *, (m1 - m2) - t_crit * sqrt(1.0 / n1 + 1.0 / n2) * pooled AS low, (m1 - m2) + t_crit * sqrt(1.0 / n1 + 1.0 / n2) * pooled AS high FROM w)
+SELECT problem, round(df, 4) AS df, round(t, 4) AS t, round(t_crit, 4) AS t_crit, round(p, 4) AS p, round(low, 4) AS low, round(high, 4) AS high, printf('[%.3f,%.3f]', low, high) AS ci FROM i""")
 def welch_ci(spark: SparkSession, d: str) -> DataFrame:
     return trials.intervals(_both(spark, d)).select("problem", *(F.round(x, 4).alias(x) for x in ("df", "t", "t_crit", "p", "low", "high")), "ci")
 
 
-@query()
+@query(_student(f"{DF} - 2") + """, i AS (SELECT *, (m1 - m2) - t_crit * sqrt(s1 / n1 + s2 / n2) AS low, (m1 - m2) + t_crit * sqrt(s1 / n1 + s2 / n2) AS high FROM w)
+SELECT problem, round(df, 4) AS df, round(t_crit, 4) AS t_crit, round(low, 4) AS low, round(high, 4) AS high, low <= 0 AND high >= 0 AS contains_zero FROM i""")
 def ci_contains_zero(spark: SparkSession, d: str) -> DataFrame:
     return trials.unpaired(_both(spark, d)).select("problem", *(F.round(x, 4).alias(x) for x in ("df", "t_crit", "low", "high")), "contains_zero")
 
@@ -563,7 +730,36 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
 def tsv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     at = fresh(spark, "tsv")
     files.write_csv(trials.summary(load(spark, d, "events"), "value", "event_type").select("event_type", "least", "greatest"), at, "\t")
-    return files.read_csv(spark, at, "event_type string, least double, greatest double", "\t")
+    return files.read_csv(spark, at, "event_type string, least double, greatest double", "\t", glob="*.csv")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey AS threshold FROM nation")
+def threshold_of_file(spark: SparkSession, d: str) -> DataFrame:
+    """Files of a folder by suffix, each row with the number in its file's path."""
+    at = fresh(spark, "files")
+    own = load(spark, d, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("seq"))
+    own.write.partitionBy("seq").option("header", True).csv(at)
+    return files.read_with_threshold(spark, at, "n_nationkey long, n_name string")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def from_pandas(spark: SparkSession, d: str) -> DataFrame:
+    """A table of the driver, which 25 rows may be, dealt over ten partitions."""
+    return files.from_pandas(spark, load(spark, d, "nation").select("n_nationkey", "n_name").toPandas(), 10)
+
+
+@query("SELECT user_id, printf('[%.3f,%.3f]', min(value), max(value)) AS span, CAST(round(max(value)) AS BIGINT) AS whole FROM events GROUP BY 1")
+def formatted_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Casts and formatting."""
+    own = load(spark, d, "events").groupBy("user_id").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return own.select("user_id", F.format_string("[%.3f,%.3f]", "low", "high").alias("span"), F.round("high").cast("long").alias("whole"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT event_id) AS ids, 36 AS shortest, 36 AS longest FROM events")
+def message_ids(spark: SparkSession, d: str) -> DataFrame:
+    """A UUID for each message: none twice."""
+    own = load(spark, d, "events").select(F.uuid().alias("id"))
+    return own.groupBy("id").agg(F.count("*").alias("c")).agg(F.sum("c").alias("n"), F.count("*").alias("ids"), F.min(F.length("id")).alias("shortest"), F.max(F.length("id")).alias("longest"))
 
 
 @query("SELECT o_orderkey, o_orderkey % 1024 AS threshold FROM orders")
@@ -591,6 +787,8 @@ def midpoints(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "lineitem").select(*LINE, tree.midpoint(low, low + F.col("l_partkey")).alias("mid"))
 
 
-@query()
+@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS places, true AS within, true AS both_signs FROM orders")
 def random_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return files.random_numbers(spark, 4096)
+    """As many numbers as orders: their places and bounds."""
+    own = files.random_numbers(spark, load(spark, d, "orders").count())
+    return own.agg(F.count("*").alias("n"), F.count_distinct("pos").alias("places"), F.expr("min(v) >= -1000 AND max(v) <= 1000").alias("within"), F.expr("min(v) < 0 AND max(v) > 0").alias("both_signs"))

@@ -42,3 +42,14 @@ def put_previous(log: DataFrame, label: str, ts: str, event: str, value: Column)
 def live_names(log: DataFrame, name: str, ts: str, event: str, sign: Column) -> DataFrame:
     """How often each name is live after each add (+1) or remove (-1); more than 1 or less than 0 breaks the pairing rules."""
     return prefix(log.withColumn("sign", sign), [name], [ts, event], {"live": sign.cast("long")}, "names").select(event, name, "sign", "live", ((F.col("live") > 1) | (F.col("live") < 0)).alias("violation"))
+
+
+def violations(log: DataFrame, label: str, ts: str, event: str, delivers: Column) -> DataFrame:
+    """Deliveries that break the protocol: of a label that nobody has promised, or that has been delivered before. Null else.
+
+    delivers: whether a message is a delivery; the others are promises.
+    """
+    at = log.select(event, label, ts, delivers.alias("delivers"))
+    at = prefix(at, [label], [ts, event], {"promised": (~F.col("delivers")).cast("long"), "delivered": F.col("delivers").cast("long")}, "protocol")
+    why = F.when(F.col("promised") == 0, "unknown label").when(F.col("delivered") > 1, "double delivery")
+    return at.where("delivers").select(event, label, "promised", "delivered", why.alias("violation"))

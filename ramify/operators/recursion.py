@@ -17,20 +17,18 @@ def fibonacci(n: Column) -> Column:
 def call_tree(spark: SparkSession, n: int) -> DataFrame:
     """The calls of naive fib(n) as a table (level, value, calls): how often each value is called at each level.
 
-    A call at level l with value n - l - k took k steps of two among l, of which there are C(l, k) ways, fewer where a path
-    would go through a leaf. Calls alike are one row, so the table has some n * n rows for its exponential tree.
+    A call at level l with value n - l - k took k steps of two among l, of which there are C(l, k) ways, for a
+    value of 1 too; a zero has only a two above it. Calls alike are one row, so the table has some n * n rows for its exponential
+    tree, each found by itself.
     """
-    rows: list[tuple[int, int, int]] = []
-    at = {n: 1}
-    level = 0
-    while at:
-        rows.extend((level, v, c) for v, c in at.items())
-        after: dict[int, int] = {}
-        for v, c in at.items():
-            for child in ((v - 2, v - 1) if v > 1 else ()):
-                after[child] = after.get(child, 0) + c
-        at, level = after, level + 1
-    return spark.createDataFrame(rows, "level int, value int, calls long")
+    if n <= 1:
+        return spark.range(1).select(F.lit(0).alias("level"), F.lit(n).alias("value"), F.lit(1).cast("long").alias("calls"))
+    cells = spark.range(n + 1).select(F.col("id").alias("level"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))).alias("value"))
+    zero = (F.col("value") == 0).cast("long")  # only a two has a zero under it, and that by a step of two
+    cells = cells.select("level", "value", (F.col("level") - zero).alias("m"), (n - F.col("value") - F.col("level") - zero).alias("k")).where("k >= 0 AND k <= m")
+    steps = F.when(F.col("k") > 0, F.sequence(F.lit(1).cast("long"), F.col("k"))).otherwise(F.array().cast("array<bigint>"))
+    ways = F.aggregate(steps, F.lit(1).cast("long"), lambda c, i: F.call_function("div", c * (F.col("m") - F.col("k") + i), i))
+    return cells.select(F.col("level").cast("int").alias("level"), F.col("value").cast("int").alias("value"), ways.alias("calls"))
 
 
 def leaf_sum(tree: DataFrame) -> DataFrame:

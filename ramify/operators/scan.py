@@ -15,27 +15,47 @@ from ..storage import partitions, written
 
 RANGE = "__range"
 
+#: How values are put together, by name: the aggregate, and the same for two values, of which either may be null.
+KINDS = {"sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)), "max": (F.max, F.greatest), "min": (F.min, F.least)}
 
-def prefix(df: DataFrame, keys: list[str], order: list[Column | str], sums: dict[str, Column], name: str = "scan") -> DataFrame:
-    """df with, for each entry of sums, the sum of the expression over the rows of the same keys up to and including this one.
+
+def _with_totals(local: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of local beside what lies below their range, by range and keys. Without keys that is one row a range."""
+    on = F.col(RANGE) == F.col("__of")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+    return local.join(totals if keys else F.broadcast(totals), on)
+
+
+def _below(keys: list[str]) -> Window:
+    return Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def prefix(df: DataFrame, keys: list[str], order: list[Column | str], values: dict[str, Column], name: str = "scan", kinds: dict[str, str] | None = None, before: tuple[str, ...] = ()) -> DataFrame:
+    """df with, for each entry of values, the sum of the expression, or what kinds names for it, over the rows of the same keys up
+    to and including this one, or, for the names in before, up to the one before it.
 
     Rows of equal order are taken in any sequence, so order should end in a unique column. An empty table stays empty.
     """
-    own = df.withColumns({f"__add_{k}": v for k, v in sums.items()})
+    how = {k: KINDS[(kinds or {}).get(k, "sum")] for k in values}
+    own = df.withColumns({f"__add_{k}": v for k, v in values.items()})
     ranged = own.repartitionByRange(partitions(df.sparkSession), *keys, *order).withColumn(RANGE, F.spark_partition_id())
     ranged = written(ranged, name)
-    below = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy(*keys, RANGE).agg(*(F.sum(f"__add_{k}").alias(f"__sum_{k}") for k in sums))
-    totals = totals.select(*(F.col(k).alias(f"__key_{k}") for k in keys), F.col(RANGE).alias("__of"), *(F.coalesce(F.sum(f"__sum_{k}").over(below if keys else Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"__below_{k}") for k in sums))
-    on = F.col(RANGE) == F.col("__of")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
-    within = Window.partitionBy(RANGE, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumns({k: F.sum(f"__add_{k}").over(within) for k in sums})
-    out = local.join(totals, on)
-    return out.select(*df.columns, *((F.col(k) + F.col(f"__below_{k}")).alias(k) for k in sums))
+    totals = ranged.groupBy(*keys, RANGE).agg(*(how[k][0](f"__add_{k}").alias(f"__sum_{k}") for k in values))
+    totals = totals.select(*(F.col(k).alias(f"__key_{k}") for k in keys), F.col(RANGE).alias("__of"), *(how[k][0](f"__sum_{k}").over(_below(keys)).alias(f"__below_{k}") for k in values))
+    within = Window.partitionBy(RANGE, *keys).orderBy(*order)
+    up_to = {k: within.rowsBetween(Window.unboundedPreceding, -1 if k in before else 0) for k in values}
+    local = ranged.withColumns({k: how[k][0](f"__add_{k}").over(up_to[k]) for k in values})
+    return _with_totals(local, totals, keys).select(*df.columns, *(how[k][1](F.col(k), F.col(f"__below_{k}")).alias(k) for k in values))
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column | str], rank: str = "rank", name: str = "rank") -> DataFrame:
-    """df with the 1-based rank of each row among those of its keys."""
-    return prefix(df, keys, order, {rank: F.lit(1).cast("long")}, name)
+    """df with the 1-based rank of each row among those of its keys.
+
+    One exchange, by range: a row's number in its sorted range is written with it, so places are differences of numbers.
+    """
+    ranged = df.repartitionByRange(partitions(df.sparkSession), *keys, *order).sortWithinPartitions(*keys, *order)
+    ranged = written(ranged.withColumn("__id", F.monotonically_increasing_id()), name).withColumn(RANGE, F.shiftright("__id", 33))
+    totals = ranged.groupBy(*keys, RANGE).agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    totals = totals.select(*(F.col(k).alias(f"__key_{k}") for k in keys), F.col(RANGE).alias("__of"), "__first", F.coalesce(F.sum("__n").over(_below(keys)), F.lit(0)).alias("__before"))
+    return _with_totals(ranged, totals, keys).select(*df.columns, (F.col("__id") - F.col("__first") + F.col("__before") + 1).alias(rank))

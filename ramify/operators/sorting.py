@@ -19,12 +19,12 @@ def sort_runs(df: DataFrame, run: str, order: list[Column | str], rank: str = "r
     return ranked(df, [run], order, rank, "runs")
 
 
-def merge_runs(runs: list[DataFrame], order: list[Column | str], rank: str = "rank") -> DataFrame:
-    """One total order over several sorted runs: a range exchange takes the place of pairwise merging."""
+def merge_runs(runs: list[DataFrame], order: list[Column | str], rank: str = "rank", run: str | None = None) -> DataFrame:
+    """One order over several sorted runs, in all or within each value of run: a range exchange takes the place of pairwise merging."""
     merged = runs[0]
     for r in runs[1:]:
         merged = merged.unionByName(r)
-    return ranked(merged, [], order, rank, "merge")
+    return ranked(merged, [run] if run else [], order, rank, "merge")
 
 
 def merge_bounds(runs: DataFrame, parent: Column, low: str, high: str) -> DataFrame:
@@ -71,6 +71,15 @@ def verify(sorted_: DataFrame, rank: str, value: str) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.count_if(F.col("__next") < F.col(value)).alias("out_of_order"), (F.count("*") - F.count("__rank") - 1).alias("gaps"))
 
 
+def differences(got: DataFrame, expected: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row: rows of either side, rows that only one side has, and values that differ."""
+    a = got.select(*keys, F.col(value).alias("__a"), F.lit(1).alias("__got"))
+    b = expected.select(*keys, F.col(value).alias("__b"), F.lit(1).alias("__expected"))
+    both = a.join(b, keys, "full")
+    here, there = F.col("__got").isNotNull(), F.col("__expected").isNotNull()
+    return both.agg(F.count("*").alias("n"), F.count_if(~here).alias("missing"), F.count_if(~there).alias("surplus"), F.count_if(here & there & ~F.col("__a").eqNullSafe(F.col("__b"))).alias("differ"))
+
+
 def window_rank(df: DataFrame, run: str, order: list[Column | str], rank: str = "rank") -> DataFrame:
     """For runs that are known to be small: the plain window."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(run).orderBy(*order)).cast("long"))

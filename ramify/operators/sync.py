@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .scan import prefix, ranked
 
@@ -24,12 +23,19 @@ def permits(log: DataFrame, name: list[str], ts: str, event: str, sign: Column,
     return at.withColumn("permits", F.col("sum") + initial).withColumn("waiters", F.greatest(F.lit(0).cast("long"), -F.col("permits"))).drop("sum")
 
 
-def semaphore_waits(log: DataFrame, name: list[str], ts: str, event: str, kind: Column, initial: int) -> DataFrame:
+def with_both(log: DataFrame, kind: Column) -> DataFrame:
+    """A log in which each VP is a V and, right after it, a P: kind 'V' or 'P', and step, the order of the two."""
+    steps = F.when(F.col("kind") == "VP", F.array(F.lit("V"), F.lit("P"))).otherwise(F.array("kind"))
+    others = [c for c in log.columns if c not in ("kind", "step")]
+    return log.withColumn("kind", kind).select(*others, F.posexplode(steps).alias("step", "kind"))
+
+
+def semaphore_waits(log: DataFrame, name: list[str], ts: str, event: str, kind: Column, initial: int, order: tuple[str, ...] = ()) -> DataFrame:
     """For each P (kind 'P') the number of V ('V') that lets it go on, first come first served, and when; null for never.
 
     The k-th P needs no V if k <= initial, else the V of number k - initial.
     """
-    at = ranked(log.withColumn("kind", kind), [*name, "kind"], [ts, event], "k", "semaphore")
+    at = ranked(log.withColumn("kind", kind), [*name, "kind"], [ts, event, *order], "k", "semaphore")
     p = at.where("kind = 'P'").select(event, *name, ts, "k", (F.col("k") - initial).alias("needs"))
     v = at.where("kind = 'V'").select(*name, F.col("k").alias("needs"), F.col(ts).alias("__freed"))
     met = p.join(v, [*name, "needs"], "left")
@@ -60,11 +66,15 @@ def bounded_buffer(log: DataFrame, name: list[str], ts: str, event: str, kind: C
     if capacity < 1:
         raise ValueError("a buffer holds at least one value")
     at = _calls(log, name, ts, event, kind).withColumn("lane", F.col("k") % capacity)
-    lane = Window.partitionBy(*name, "lane").orderBy("k")
-    so_far = lane.rowsBetween(Window.unboundedPreceding, 0)
-    whole = F.min(F.col("offered").isNotNull() & F.col("asked").isNotNull()).over(so_far)
-    at = at.withColumn("withdrawn", F.when(whole, F.max(F.greatest("offered", "asked")).over(so_far)))
-    freed = F.lag("withdrawn").over(lane)
-    first = F.col("k") <= capacity
-    at = at.withColumn("deposited", F.when(F.col("offered").isNull(), F.lit(None)).when(first, F.col("offered")).when(freed.isNotNull(), F.greatest("offered", freed)))
-    return at.select(*name, "k", "deposit", "withdrawal", "deposited", "withdrawn")
+    at = at.withColumn("there", (F.col("offered").isNotNull() & F.col("asked").isNotNull()).cast("int"))
+    passed = F.greatest("offered", "asked")
+    so_far = {"whole": F.col("there"), "last": passed, "whole_before": F.col("there"), "last_before": passed}
+    at = prefix(at, [*name, "lane"], ["k"], so_far, "lanes", {"whole": "min", "last": "max", "whole_before": "min", "last_before": "max"}, ("whole_before", "last_before"))
+    freed = F.when(F.col("whole_before") == 1, F.col("last_before"))
+    deposited = F.when(F.col("offered").isNull(), F.lit(None)).when(F.col("k") <= capacity, F.col("offered")).when(freed.isNotNull(), F.greatest("offered", freed))
+    return at.select(*name, "k", "deposit", "withdrawal", deposited.alias("deposited"), F.when(F.col("whole") == 1, F.col("last")).alias("withdrawn"))
+
+
+def bichannel(log: DataFrame, name: list[str], direction: str, ts: str, event: str, kind: Column) -> DataFrame:
+    """Two channels, one for each direction, each holding one value."""
+    return bounded_buffer(log, [*name, direction], ts, event, kind, capacity=1)

@@ -53,24 +53,36 @@ def range_label(low: Column, high: Column) -> Column:
 
 
 def fanout_counts(tree: DataFrame) -> DataFrame:
-    """For each level, divided nodes, tasks that they invoke (all children but one each) and those that a parent becomes."""
-    inner = tree.where(~F.col("is_leaf"))
-    return inner.groupBy("level").agg(F.count("*").alias("fanouts"), F.count("*").alias("invoked"), F.count("*").alias("becomes"))
+    """For each level, divided nodes, tasks that they invoke (all children but one each) and those that a parent becomes: its
+    last child. Children are counted from the tree."""
+    children = tree.where(F.col("parent_id").isNotNull()).groupBy(F.col("parent_id").alias("problem_id")).agg(F.count("*").alias("children"))
+    inner = tree.where(~F.col("is_leaf")).join(children, "problem_id", "left").withColumn("children", F.coalesce("children", F.lit(0)))
+    return inner.groupBy("level").agg(F.count("*").alias("fanouts"), F.sum(F.col("children") - 1).alias("invoked"), F.count_if(F.col("children") > 0).alias("becomes"))
+
+
+def at_level(tree: DataFrame, level: int) -> DataFrame:
+    """The nodes that get their input at a level: those of that level, and leaves above it."""
+    return tree.where((F.col("level") == level) | F.col("is_leaf") & (F.col("level") < level))
 
 
 def with_leaf(tree: DataFrame, rows: DataFrame, position: str) -> DataFrame:
-    """rows with the problem_id, from_idx and to_idx of the leaf that holds their position.
+    """rows with the problem_id, from_idx and to_idx of the leaf that holds their position."""
+    return with_node(tree.where("is_leaf"), rows, position)
+
+
+def with_node(nodes: DataFrame, rows: DataFrame, position: str) -> DataFrame:
+    """rows with the problem_id, from_idx and to_idx of the one of these nodes, whose ranges are disjoint, that holds them.
 
-    Positions are divided by the least leaf size to get an equi-join key; a leaf spans a few such cells.
+    Positions are divided by the least size to get an equi-join key; a node spans a few such cells.
     """
-    leaves = tree.where("is_leaf").select("problem_id", "from_idx", "to_idx")
+    leaves = nodes.select("problem_id", "from_idx", "to_idx")
     width = leaves.agg(F.min(F.col("to_idx") - F.col("from_idx") + 1)).first()[0] or 1
     cells = leaves.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("from_idx") / width), F.floor(F.col("to_idx") / width))))
     own = rows.withColumn("__cell", F.floor(F.col(position) / width))
     return own.join(cells, "__cell").where(F.col(position).between(F.col("from_idx"), F.col("to_idx"))).drop("__cell")
 
 
-def slices(tree: DataFrame, rows: DataFrame, position: str, value: str) -> DataFrame:
-    """For each leaf the rows of its range: n, first and last value, sum."""
-    met = with_leaf(tree, rows.select(F.col(position).alias("__pos"), F.col(value).alias("__value")), "__pos")
+def slices(tree: DataFrame, rows: DataFrame, position: str, value: str, level: int | None = None) -> DataFrame:
+    """For each leaf, or each node that gets its input at a level, the rows of its range: n, first and last value, sum."""
+    met = with_node(tree.where("is_leaf") if level is None else at_level(tree, level), rows.select(F.col(position).alias("__pos"), F.col(value).alias("__value")), "__pos")
     return met.groupBy("problem_id", "from_idx", "to_idx").agg(F.count("*").alias("n"), F.min_by("__value", "__pos").alias("first_value"), F.max_by("__value", "__pos").alias("last_value"), F.sum("__value").alias("total"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.labels import list_literal
+from ..functions.labels import list_literal, threshold_in
 
 #: The columns of a file of trials; the first has no name in the header.
 TRIALS = "_c0 int, time double, cost double, num_lambdas int, aggregate_duration double, min_duration double, max_duration double, avg_duration double"
@@ -17,6 +18,17 @@ def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", glob:
     return (reader.option("pathGlobFilter", glob) if glob else reader).csv(path)
 
 
+def from_pandas(spark: SparkSession, frame: pd.DataFrame, n: int = 10) -> DataFrame:
+    """A small table of the driver in n partitions."""
+    return spark.createDataFrame(frame).repartition(n)
+
+
+def read_with_threshold(spark: SparkSession, path: str, schema: str, glob: str = "*.csv") -> DataFrame:
+    """All files below a folder whose names match, with the number after seq= in each row's path."""
+    rows = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).csv(path)
+    return rows.withColumn("threshold", threshold_in(F.input_file_name()))
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
 

@@ -13,6 +13,7 @@ from ..storage import fresh
 
 FANIN = "name string, event_id long, arrived long, combines boolean, others string"
 BARRIER = "name string, event_id long, generation long, released timestamp"
+BUFFER = "name string, k long, deposit long, withdrawal long, passed timestamp"
 PERMITS = "name string, event_id long, permits long, waiters long"
 
 
@@ -72,6 +73,26 @@ def semaphore(stream: DataFrame, initial: int) -> DataFrame:
     return stream.groupBy("name").applyInPandasWithState(step, PERMITS, "permits long", "append", GroupStateTimeout.NoTimeout)
 
 
+def buffer(stream: DataFrame) -> DataFrame:
+    """(name, event_id, ts, kind): the k-th deposit ('D') of a name with its k-th withdrawal ('W'), when both are there. State: the
+    calls of the one kind that wait for the other."""
+
+    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done, kind, waiting, since = state.get if state.exists else (0, "", [], [])
+        at = _ordered(frames)
+        calls = {k: list(zip(x["event_id"].tolist(), x["ts"].tolist(), strict=True)) for k, x in at.groupby("kind")}
+        held = [(int(e), pd.Timestamp(t, unit="us")) for e, t in zip(waiting, since, strict=True)]
+        d, w = ((held if kind == k else []) + calls.get(k, []) for k in ("D", "W"))
+        n = min(len(d), len(w))
+        rows = [(key[0], done + i + 1, a[0], b[0], max(a[1], b[1])) for i, (a, b) in enumerate(zip(d[:n], w[:n], strict=True))]
+        left, kind = (d[n:], "D") if len(d) > n else (w[n:], "W")
+        state.update((done + n, kind, [int(e) for e, _ in left], [t.value // 1000 for _, t in left]))
+        if rows:
+            yield pd.DataFrame(rows, columns=["name", "k", "deposit", "withdrawal", "passed"])
+
+    return stream.groupBy("name").applyInPandasWithState(step, BUFFER, "done long, kind string, waiting array<long>, since array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over all that is there, into a table in the shared folder, and reads the table."""
     spark: SparkSession = stream.sparkSession

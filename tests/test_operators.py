@@ -170,5 +170,61 @@ def test_programs(spark, n):
     df = spark.createDataFrame(list(enumerate(values)), "pos long, v long")
     small = program.Program(sequential=F.sum, combine=F.sum, threshold=3)
     assert [r.result for r in program.execute(small, df, "pos", "v").collect()] == ([sum(values)] if n else [])
-    sort = program.Program(sequential=program.MERGE_SORT.sequential, combine=program.MERGE_SORT.combine, threshold=7)
+    sort = program.Program(sequential=lambda v: F.array_sort(F.collect_list(v)), combine=lambda r: F.array_sort(F.flatten(F.collect_list(r))), threshold=7)
     assert [r.result for r in program.execute(sort, df, "pos", "v").collect()] == ([sorted(values)] if n else [])
+
+
+@pytest.mark.parametrize("values", [GOLDEN, [], [1], [2, 2, 2, 2, 1, 1], list(range(12)), list(range(12, 0, -1))])
+def test_quicksort_program(spark, values):
+    roots = spark.createDataFrame([("[0,1]", values)], "problem_id string, problem array<long>")
+    assert [r.result for r in program.solve(program.QUICKSORT, roots).collect()] == [sorted(values)]
+
+
+def test_recursion_with_and_without_shared_results(spark):
+    roots = spark.createDataFrame([(f"[{i},1]", i) for i in (0, 1, 2, 7, 8, 8)], "problem_id string, problem long")
+    want = [(f"[{i},1]", f) for i, f in ((0, 0), (1, 1), (2, 1), (7, 13), (8, 21), (8, 21))]
+    assert sorted(map(tuple, program.solve(program.FIBONACCI_MEMO, roots).collect())) == want
+    assert sorted(map(tuple, program.solve(program.FIBONACCI, roots.distinct()).collect())) == sorted(set(want))
+    assert program.solve(program.FIBONACCI, roots.limit(0)).count() == program.solve(program.FIBONACCI_MEMO, roots.limit(0)).count() == 0
+
+
+def test_k_ways_and_checks(spark):
+    roots = spark.createDataFrame([("[0,1]", (0, 100)), ("[1,1]", (5, 5))], "problem_id string, problem struct<low: long, high: long>")
+    got = {r.problem_id: r.result for r in program.solve(program.k_way_sum(5, 3), roots).collect()}
+    assert got == {"[0,1]": 5050, "[1,1]": 5}
+    levels = program.expand(program.k_way_sum(5, 3), roots)
+    assert levels[1].count() == 5 and {r.problem_id for r in levels[1].collect()} == {f"[0,1][{i},5]" for i in range(5)}
+    endless = program.Recursion(lambda p: F.lit(False), lambda p: F.array(p), lambda p: p, lambda p, got: p, max_levels=3)
+    with pytest.raises(RecursionError):
+        program.expand(endless, roots)
+    with pytest.raises(ValueError):
+        program.Program(F.sum, F.sum, threshold=0)
+    with pytest.raises(ValueError):
+        program.execute(program.TREE_REDUCTION, roots, "pos", "v", 5, output_level=-1)
+
+
+def test_running_extremes_with_nulls(spark):
+    rows = [(i % 2, i, None if i % 5 == 0 else (i * 37) % 101) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, at long, v long")
+    got = {r["at"]: (r.top, r.low, r.before) for r in scan.prefix(df, ["k"], ["at"], {"top": F.col("v"), "low": F.col("v"), "before": F.col("v")}, kinds={"top": "max", "low": "min", "before": "max"}, before=("before",)).collect()}
+    for k, at, _ in rows:
+        seen = [v for j, i, v in rows if j == k and i <= at and v is not None]
+        past = [v for j, i, v in rows if j == k and i < at and v is not None]
+        assert got[at] == (max(seen, default=None), min(seen, default=None), max(past, default=None))
+
+
+def test_memo_violations(spark):
+    log = spark.createDataFrame([(1, "a", 1, True), (2, "a", 2, False), (3, "a", 3, True), (4, "b", 4, False), (5, "b", 5, True), (6, "b", 6, True)], "event long, label string, ts long, delivers boolean")
+    got = {r.event: r.violation for r in memo.violations(log, "label", "ts", "event", F.col("delivers")).collect()}
+    assert got == {1: "unknown label", 3: "double delivery", 5: None, 6: "double delivery"}
+
+
+def test_a_call_that_is_both(spark):
+    log = spark.createDataFrame([(1, 1, "P"), (2, 2, "VP"), (3, 3, "V")], "event long, ts long, kind string")
+    got = {(r.event, r.goes_on) for r in sync.semaphore_waits(sync.with_both(log, F.col("kind")), [], "ts", "event", F.col("kind"), 0, ("step",)).collect()}
+    assert got == {(1, 2), (2, 3)}
+
+
+def test_differences(spark):
+    a, b = (spark.createDataFrame(x, "k long, v long") for x in ([(1, 1), (2, 2), (3, None)], [(2, 5), (3, None), (4, 4)]))
+    assert tuple(sorting.differences(a, b, ["k"], "v").first()) == (4, 1, 1, 1)
