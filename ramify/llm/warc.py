@@ -222,8 +222,8 @@ def write(pages: DataFrame, target: str, key: str = "page_id", url: str = "url",
 def read(spark: SparkSession, target: str) -> DataFrame:
     """The records of the files that the manifests list: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null in revisits).
 
-    Raises at once if MANIFEST.json is missing or doesn't agree with the manifests of shards, and when rows are asked for if a
-    file is missing or differs from its manifest in digest or number of records.
+    Raises at once if MANIFEST.json is missing or doesn't agree with the manifests of shards, or if a file is missing; and when
+    rows are asked for if a file differs from its manifest in digest or number of records.
     """
     schema = arrow_schema(READ)
     try:
@@ -236,14 +236,15 @@ def read(spark: SparkSession, target: str) -> DataFrame:
     if found != whole:
         raise ValueError(f"the manifests of shards have {found}, {MANIFEST} {whole}")
     files = spark.read.format("binaryFile").load(f"{target}/shard-*.warc.gz").select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    files = names.join(files, "name", "left").select("content", "sha", "records", "name")
+    gone = names.join(files.select("name"), "name", "left_anti").limit(3).collect()  # reads names, not files
+    if gone:
+        raise FileNotFoundError(f"in a manifest, but not there: {', '.join(r.name for r in gone)}")
+    files = files.join(names, "name").select("content", "sha", "records", "name")  # inner, so that contents need not move
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 raw, sha, records, name = (batch.column(j)[i].as_py() for j in range(4))
-                if raw is None:
-                    raise FileNotFoundError(f"{name} is in a manifest, but not there")
                 if hashlib.sha256(raw).hexdigest() != sha:
                     raise ValueError(f"{name} differs from its manifest")
                 rows, seen = [], 0
