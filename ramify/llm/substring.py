@@ -17,11 +17,12 @@ from .common import arrow_schema, id_in, id_out, pack_array, partitions, unpack_
 
 #: Odd, so it has an inverse modulo 2**64 and window hashes come from differences of one running sum.
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 2**64)
+#: Of the second hash, whose upper 16 bits go with each window: equal windows agree in 80 bits.
+CHECK_BASE = 0xD6E8FEB86659FD93
 #: Windows that one range of hashes has, about; bounds what a worker sorts at a time.
 RANGE_WINDOWS = 2_000_000
 BATCH_WORDS = 1_000_000
-PARTS = "part int, n int, hashes binary, places binary, ids binary, texts binary, firsts binary"
+PARTS = "part int, n int, hashes binary, checks binary, places binary, ids binary, texts binary, firsts binary"
 BUCKETS = "bucket int, ids binary, texts binary, starts binary"
 FLAGS = "doc_id long, th int, starts binary"
 
@@ -40,18 +41,24 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def window_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
-    """For each start, the sum over j < k of tokens[start + j] * BASE**-j modulo 2**64, mixed so that its bits are even."""
+def window_hashes(tokens: np.ndarray, k: int, base: int = BASE) -> np.ndarray:
+    """For each start, the sum over j < k of tokens[start + j] * base**-j modulo 2**64, mixed so that its bits are even."""
     if len(tokens) < k:
         return np.empty(0, np.uint64)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tokens * _powers(INVERSE, len(tokens)), dtype=np.uint64)))
-    h = (total[k:] - total[:-k]) * _powers(BASE, len(tokens) - k + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tokens * _powers(pow(base, -1, 2**64), len(tokens)), dtype=np.uint64)))
+    h = (total[k:] - total[:-k]) * _powers(base, len(tokens) - k + 1)
     for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):  # the finaliser of MurmurHash3
         h ^= h >> np.uint64(shift)
         h *= np.uint64(factor)
     return h ^ (h >> np.uint64(33))
 
 
+def check_values(tokens: np.ndarray, k: int) -> np.ndarray:
+    """16 bits of another hash of each window, by another base over the tokens mixed anew: low bits of sums don't carry over."""
+    mixed = (tokens ^ (tokens >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    return (window_hashes(mixed, k, CHECK_BASE) >> np.uint64(48)).astype(np.uint16)
+
+
 def _rise(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=a.dtype.type(0))
 
@@ -79,38 +86,41 @@ class _Batch:
             self.size += len(words)
 
     def rows(self) -> Iterator[dict]:
-        """A row for each range of hashes with the first window of each hash, then the repeats found within the batch."""
+        """A row for each range of hashes with the first window of each hash and check, then the repeats found within the batch."""
         if not self.docs:
             return
         self.docs.sort(key=lambda x: x[0])
         ids, texts = np.array([d[0] for d in self.docs], np.int64), np.array([d[1] for d in self.docs], np.int32)
         lengths = np.array([len(d[2]) for d in self.docs], np.int64)
         firsts = np.concatenate(([0], np.cumsum(lengths)))[:-1].astype(np.int32)
-        h = window_hashes(np.concatenate([d[2] for d in self.docs]), self.k)
+        tokens = np.concatenate([d[2] for d in self.docs])
+        h, check = window_hashes(tokens, self.k), check_values(tokens, self.k)
         whole = np.ones(len(h), bool)  # windows that don't run into the next document
         for s in range(1, self.k):
             at = firsts[1:] - s
             whole[at[(at >= 0) & (at < len(h))]] = False
         place = np.flatnonzero(whole).astype(np.int32)
-        h = h[place]
+        h, check = h[place], check[place]
         order = np.argsort(h, kind="stable")  # places rise within a hash, and so do (id, start)
-        h, place = h[order], place[order]
-        first = np.concatenate((np.ones(1, bool), h[1:] != h[:-1]))
+        if np.any((np.diff(h[order]) == 0) & (np.diff(check[order]) != 0)):  # windows that differ share a hash
+            order = np.lexsort((place, check, h))
+        h, check, place = h[order], check[order], place[order]
+        first = np.concatenate((np.ones(1, bool), (h[1:] != h[:-1]) | (check[1:] != check[:-1])))
         part = self.part_of(h)
 
-        def row(n: int, part: int, hashes: np.ndarray, places: np.ndarray) -> dict:
+        def row(n: int, part: int, hashes: np.ndarray, checks: np.ndarray, places: np.ndarray) -> dict:
             own, at = np.unique(np.searchsorted(firsts, places, "right") - 1, return_inverse=True)
             starts = places - firsts[own][at]
             sent = np.concatenate(([0], np.cumsum(lengths[own])))[:-1].astype(np.int32)
-            return {"part": part, "n": n, "hashes": pack_array(_rise(hashes)), "places": pack_array((sent[at] + starts).astype(np.int32)), "ids": pack_array(_rise(ids[own])), "texts": pack_array(texts[own]), "firsts": pack_array(_rise(sent))}
+            return {"part": part, "n": n, "hashes": pack_array(_rise(hashes)), "checks": pack_array(checks), "places": pack_array((sent[at] + starts).astype(np.int32)), "ids": pack_array(_rise(ids[own])), "texts": pack_array(texts[own]), "firsts": pack_array(_rise(sent))}
 
-        hf, pf, cut = h[first], place[first], part[first]
+        hf, cf, pf, cut = h[first], check[first], place[first], part[first]
         edges = np.flatnonzero(np.concatenate((np.ones(1, bool), cut[1:] != cut[:-1])))
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(cut)], strict=True):
-            yield row(b - a, int(cut[a]), hf[a:b], pf[a:b])
+            yield row(b - a, int(cut[a]), hf[a:b], cf[a:b], pf[a:b])
         again = np.sort(place[~first])
         if len(again):  # to any part, for it only passes them on
-            yield row(-1, (int(ids[0]) + int(texts[0])) % self.parts, np.empty(0, np.uint64), again)
+            yield row(-1, (int(ids[0]) + int(texts[0])) % self.parts, np.empty(0, np.uint64), np.empty(0, np.uint16), again)
 
     def part_of(self, h: np.ndarray) -> np.ndarray:
         return ((h >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int32)
@@ -161,7 +171,7 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
 
 
 def _repeats(rows: list[dict], parts: int) -> Iterator[pa.RecordBatch]:
-    """The windows of one range whose hash also starts earlier: at a smaller (id, start)."""
+    """The windows of one range whose hash and check also start earlier: at a smaller (id, start)."""
     sent = [r for r in rows if r["n"] >= 0]
     if sent:
         h = np.concatenate([np.cumsum(unpack_array(r["hashes"], np.uint64), dtype=np.uint64) for r in sent])
@@ -178,11 +188,11 @@ def _repeats(rows: list[dict], parts: int) -> Iterator[pa.RecordBatch]:
                 begin += r["n"]
                 if own.any():
                     got.append([x[own] for x in _decode(r)])
-            h = h[marks]
+            h, check = h[marks], np.concatenate([unpack_array(r["checks"], np.uint16) for r in sent])[marks]
             ids, texts, starts = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.lexsort((starts, ids, h))
-            h, ids, texts, starts = h[order], ids[order], texts[order], starts[order]
-            new = np.concatenate((np.ones(1, bool), h[1:] != h[:-1]))
+            order = np.lexsort((starts, ids, check, h))
+            h, check, ids, texts, starts = h[order], check[order], ids[order], texts[order], starts[order]
+            new = np.concatenate((np.ones(1, bool), (h[1:] != h[:-1]) | (check[1:] != check[:-1])))
             head = np.flatnonzero(new)[np.cumsum(new) - 1]
             later = (ids != ids[head]) | (starts != starts[head])
             if later.any():
@@ -297,8 +307,8 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     A word goes if a window of k words that covers it has a word sequence that also starts earlier, which is at a smaller id,
     or in rows of the same id at an earlier place; windows at the same id and place are not earlier than each other, so rows
     alike in id and text have the same result. Null text and texts of fewer than k words have no window. A null id sorts
-    before all others. An empty table gives an empty result. Other columns are not read. Equal 64-bit hashes count as equal
-    windows: over n windows that is about n * n / 2**65 wrong pairs.
+    before all others. An empty table gives an empty result. Other columns are not read. Equal hashes of 80 bits count as
+    equal windows: over n windows that is about n * n / 2**81 wrong pairs.
     """
     joined = _joined(docs.select(F.col(key), F.col(text)), key, text, k)
     out = _digest(k)(F.col("__ramify_z"), F.col("__ramify_starts")).alias("x")

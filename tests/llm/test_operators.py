@@ -299,7 +299,7 @@ def plain_removals(rows, k=20):
 
 
 @pytest.mark.parametrize("k", [3, 20])
-def test_removals_against_word_sequences(docs, k, monkeypatch):
+def test_removals_against_word_sequences(docs, k):
     assert collections.Counter(map(tuple, substring.removals(docs, k=k).collect())) == plain_removals(corpus(), k)
 
 
@@ -315,6 +315,40 @@ def test_window_hashes_are_equal_for_equal_windows():
     assert len(substring.window_hashes(t[:19], 20)) == 0
 
 
+@pytest.mark.parametrize("batch_words", [300, 10**6])
+def test_windows_that_share_a_hash_are_told_apart(monkeypatch, batch_words):
+    """With 18 bits of hash thousands of windows meet others; the check, the same in all batches, keeps them apart."""
+    whole = substring.window_hashes
+    short = lambda tokens, k, base=substring.BASE: whole(tokens, k, base) & np.uint64(~(2**46 - 1) & (2**64 - 1) if base == substring.BASE else 2**64 - 1)
+    monkeypatch.setattr(substring, "window_hashes", short)
+    monkeypatch.setattr(substring, "BATCH_WORDS", batch_words)
+    rows, k, sent = [(i, t) for i, t in corpus() if t], 5, collections.defaultdict(list)
+    own = [whole(np.fromiter(map(substring._WordHash().__getitem__, raw(t).split()), np.uint64), k) for _, t in rows]
+    every = np.unique(np.concatenate(own))
+    assert len(every) - len(np.unique(every >> np.uint64(46))) > 100
+    batch = substring._Batch(k, 3)
+    for i, t in rows:
+        if batch.full(i):
+            for r in batch.rows():
+                sent[r["part"]].append(r)
+            batch.start()
+        batch.add(i, 0, raw(t))
+    for r in batch.rows():
+        sent[r["part"]].append(r)
+    buckets = collections.defaultdict(list)
+    for part in sent.values():
+        for out in substring._repeats(part, 3):
+            for r in out.to_pylist():
+                buckets[r["bucket"]].append(r)
+    gone = {r["doc_id"]: r["starts"] for b in buckets.values() for out in substring._merged(b) for r in out.to_pylist()}
+    got = collections.Counter()
+    for i, t in rows:
+        words = raw(t).split()
+        out = substring.covered(len(words), gone.get(i, b""), k)
+        got[i, len(words), int(out.sum()), hashlib.sha256(b" ".join(w for w, x in zip(words, out.tolist(), strict=True) if not x)).hexdigest()] += 1
+    assert got == plain_removals(rows, k)
+
+
 def test_remove_repeats_changes_only_texts_that_lose_words(docs, none):
     after, before = by_id(substring.remove_repeats(docs)), dict(corpus())
     gone = {r.doc_id: r for r in substring.removals(docs).collect()}
