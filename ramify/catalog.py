@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import labels
-from .operators import fanin, memo, recursion, reduction, sorting, sync, trials
+from .operators import calls, fanin, memo, recursion, reduction, sorting, sync, trials
 from .plans import program, tree
 from .sources import files
 from .storage import fresh, load
@@ -521,6 +521,32 @@ def memo_violations(spark: SparkSession, d: str) -> DataFrame:
     return memo.violations(log, "user_id", "ts", "event_id", F.col("event_type") == "purchase")
 
 
+CLASS = "CASE user_id % 3 WHEN 0 THEN 'Barrier' WHEN 1 THEN 'Semaphore' ELSE 'Counter' END"
+
+
+@query("SELECT event_id, user_id % 16 AS name, CASE user_id % 3 WHEN 0 THEN 'created' WHEN 1 THEN 'no source' ELSE 'invalid class' END AS status FROM events WHERE event_type = 'signup'")
+def synchronizer_create(spark: SparkSession, d: str) -> DataFrame:
+    own = load(spark, d, "events").where("event_type = 'signup'")
+    return own.select("event_id", (F.col("user_id") % 16).alias("name"), calls.create_status(F.expr(CLASS)).alias("status"))
+
+
+@query("""
+WITH e AS (
+  SELECT event_id, ts, user_id % 16 AS name, event_type, count(*) FILTER (event_type = 'signup' AND user_id % 3 = 0) OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS objects
+  FROM events WHERE event_type <> 'error'),
+c AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts, event_id) AS call FROM e WHERE objects > 0 AND event_type <> 'signup'),
+g AS (SELECT *, call % 4 <> 0 AS blocks, CASE WHEN count(*) OVER w = 4 THEN max(ts) OVER w END AS released FROM c WINDOW w AS (PARTITION BY name, (call - 1) // 4))
+SELECT event_id, name, CASE WHEN event_type = 'purchase' THEN 'none' WHEN event_type = 'view' AND blocks THEN 'blocking' ELSE 'state' END AS reply,
+  CASE WHEN event_type = 'view' AND blocks THEN ts WHEN event_type <> 'purchase' THEN released END AS answered, CASE WHEN blocks AND event_type <> 'click' THEN released END AS restarted FROM g
+UNION ALL SELECT event_id, name, 'unknown object', ts, NULL FROM e WHERE objects = 0 AND event_type <> 'signup'""")
+def synchronizer_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Sign-ups create objects, views try, clicks wait, and purchases are asynchronous."""
+    kind = F.col("event_type")
+    own = load(spark, d, "events").where(kind != "error").select("event_id", "event_type", "user_id", (F.col("user_id") % 16).alias("name"), "ts")
+    method = F.when(kind == "view", "try_wait_b").otherwise("wait_b")
+    return calls.barrier_calls(own, ["name"], "ts", "event_id", F.when(kind == "signup", F.expr(CLASS)), method, kind != "purchase", 4)
+
+
 # the same over streams
 
 
@@ -695,6 +721,24 @@ def durations(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").groupBy("user_id").agg((trials.micros(F.max("ts")) - trials.micros(F.min("ts"))).alias("duration_us"))
 
 
+@query("""
+WITH d AS (SELECT user_id, event_type, epoch_us(max(ts)) - epoch_us(min(ts)) AS duration_us FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2)
+SELECT *, row_number() OVER (ORDER BY event_type DESC, user_id) AS rank FROM d""")
+def durations_list(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of tasks, added to a list by two runs and read newest first."""
+    at, own = fresh(spark, "durations"), load(spark, d, "events")
+    for i, kind in enumerate(("click", "view")):
+        files.push(own.where(F.col("event_type") == kind).groupBy("user_id", "event_type").agg((trials.micros(F.max("ts")) - trials.micros(F.min("ts"))).alias("duration_us")), at, i)
+    return sorting.sort_global(files.pushed(spark, at, "user_id long, event_type string, duration_us long"), [F.desc("batch"), "user_id"]).drop("batch")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_custkey * 40 > 32000 WHEN 1 THEN o_custkey * 40 > 25 ELSE false END AS too_large FROM orders")
+def parameter_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Problems that are larger than drivers take without a complaint; there is no limit for reductions."""
+    algorithm = F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'mergesort' WHEN 1 THEN 'fibonacci' ELSE 'treereduction' END")
+    return load(spark, d, "orders").select("o_orderkey", trials.too_large(algorithm, F.col("o_custkey") * 40).alias("too_large"))
+
+
 # strings, messages and files
 
 

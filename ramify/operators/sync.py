@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from .scan import prefix, ranked
 
 
-def barrier(log: DataFrame, name: list[str], ts: str, event: str, n: int) -> DataFrame:
-    """For each call its generation and when the n-th call of it releases all; null for an incomplete generation."""
+def generations(log: DataFrame, name: list[str], ts: str, event: str, n: int) -> DataFrame:
+    """log with the number of each call among those of its name, its generation of n calls, how many of it arrived, and the last."""
     at = ranked(log, name, [ts, event], "call", "barrier").withColumn("generation", F.floor((F.col("call") - 1) / n))
     done = at.groupBy(*name, "generation").agg(F.count("*").alias("arrived"), F.max(ts).alias("last"))
-    return at.join(done, [*name, "generation"]).select(event, *name, "generation", F.when(F.col("arrived") == n, F.col("last")).alias("released"))
+    return at.join(done, [*name, "generation"])
+
+
+def barrier(log: DataFrame, name: list[str], ts: str, event: str, n: int) -> DataFrame:
+    """For each call its generation and when the n-th call of it releases all; null for an incomplete generation."""
+    return generations(log, name, ts, event, n).select(event, *name, "generation", F.when(F.col("arrived") == n, F.col("last")).alias("released"))
 
 
 def permits(log: DataFrame, name: list[str], ts: str, event: str, sign: Column, initial: int) -> DataFrame:

@@ -10,6 +10,15 @@ from ..functions.student import t_p_value, t_quantile
 #: Dollars for each millisecond of a function of 128 MB, and the size of one over that.
 RATE, MEMORY = 2.1e-9, 2.0
 
+#: The largest problems that drivers take without a complaint.
+LARGEST = {"mergesort": 32000, "fibonacci": 25}
+
+
+def too_large(algorithm: Column, n: Column) -> Column:
+    """Whether a trial's problem is larger than its algorithm should be given; it is reported, not refused. Others: false."""
+    limit = F.element_at(F.create_map(*(F.lit(x) for kv in LARGEST.items() for x in kv)), algorithm)
+    return F.coalesce(n > limit, F.lit(False))
+
 
 def micros(ts: Column) -> Column:
     """A timestamp, with or without a zone, as microseconds."""

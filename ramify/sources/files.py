@@ -42,6 +42,16 @@ def write_lists(df: DataFrame, path: str, column: str) -> None:
     df.select(F.to_json(column)).write.mode("overwrite").text(path)
 
 
+def push(df: DataFrame, path: str, batch: int) -> None:
+    """Adds rows, such as the metrics of tasks, to a list in a folder as batch number `batch`; the same batch again replaces it."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def pushed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All rows of the list, each with its batch: the larger, the later."""
+    return spark.read.schema(f"{schema}, batch int").parquet(path)
+
+
 def random_numbers(spark: SparkSession, n: int, low: int = -1000, high: int = 1000, seed: int = 42) -> DataFrame:
     """(pos, v): n whole numbers between low and high, both included."""
     return spark.range(n).select(F.col("id").alias("pos"), (F.floor(F.rand(seed) * (high - low + 1)) + low).cast("long").alias("v"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ramify.functions import labels, student
-from ramify.operators import fanin, memo, recursion, reduction, scan, sorting, sync, trials
+from ramify.operators import calls, fanin, memo, recursion, reduction, scan, sorting, sync, trials
 from ramify.plans import program, tree
 from ramify.sources import files
 from ramify.storage import fresh
@@ -228,3 +228,37 @@ def test_a_call_that_is_both(spark):
 def test_differences(spark):
     a, b = (spark.createDataFrame(x, "k long, v long") for x in ([(1, 1), (2, 2), (3, None)], [(2, 5), (3, None), (4, 4)]))
     assert tuple(sorting.differences(a, b, ["k"], "v").first()) == (4, 1, 1, 1)
+
+
+def test_calls_to_objects_against_a_replay(spark):
+    rnd = random.Random(5)
+    events = [(i, rnd.choice(["a", "b", None]), i // 2, rnd.choice(["create", "try", "wait", "async", "async"]), rnd.choice(["Barrier", "semaphore", "Queue", "FanIn"])) for i in range(200)]
+    log_ = spark.createDataFrame(events, "event_id long, name string, ts long, kind string, cls string").withColumn("name", F.coalesce("name", F.lit("c")))
+    kind = F.col("kind")
+    got = calls.barrier_calls(log_, ["name"], "ts", "event_id", F.when(kind == "create", F.col("cls")), F.when(kind == "try", "try_wait_b").otherwise("wait_b"), kind != "async", 3)
+    made, held, want = set(), {}, {}
+    for i, name, ts, what, cls in events:
+        name = name or "c"
+        if what == "create":
+            made |= {name} if cls in ("Barrier", "FanIn") else set()
+        elif name not in made:
+            want[i] = ("unknown object", ts, None)
+        else:
+            held.setdefault(name, []).append((i, what, ts))
+            full, last = len(held[name]) == 3, i
+            reply = {"try": "state" if full else "blocking", "wait": "state", "async": "none"}[what]
+            want[i] = (reply, ts if reply == "blocking" else None, None)
+            if full:
+                for j, how, _ in held.pop(name):
+                    again = want[j][0] != "state" and j != last
+                    want[j] = (want[j][0], ts if want[j][0] == "state" else want[j][1], ts if again else None)
+    assert {r.event_id: (r.reply, r.answered, r.restarted) for r in got.collect()} == want
+    assert {"unknown object", "blocking", "state", "none"} == {w[0] for w in want.values()}
+    assert calls.barrier_calls(log_.limit(0), ["name"], "ts", "event_id", F.lit("Barrier"), F.lit("wait_b"), F.lit(True), 3).count() == 0
+
+
+def test_a_batch_pushed_again_replaces_itself(spark):
+    at = fresh(spark, "pushed")
+    for batch, n in ((0, 3), (1, 2), (1, 4)):
+        files.push(spark.range(n), at, batch)
+    assert sorted((r.batch, r.id) for r in files.pushed(spark, at, "id long").collect()) == [(0, i) for i in range(3)] + [(1, i) for i in range(4)]
