@@ -161,6 +161,8 @@ WIDE = ("a", "b", "c", "d")
 PAIRS = tuple(p for w in range(0, 32, 8) for p in combinations(range(w, w + 8), 2))
 #: Posting lists up to this long are compared by shifts, all lists of a batch at once.
 SHIFTS = 16
+#: Postings that a task makes or reads, about, where the cluster has too few shuffle partitions for them.
+POSTINGS = 8_000_000
 #: A task gives out its links when it has joined so many ids.
 HELD = 200_000
 
@@ -252,11 +254,13 @@ def wide_links(fps: DataFrame, max_bits: int) -> DataFrame:
     the pairs are the same in them: always at 27 bits or fewer, and else with a probability that falls with their distance. By
     simulation (20,000 draws a point) that is 0.997 at 40 bits and 0.885 at 52, or 0.990 at a Jaccard similarity of 0.8 and 0.998
     at 0.85, so a link between 28 and 52 bits may be missed. Lists are never cut; a task gives its groups as stars.
+
+    A file of fingerprints has millions, which are 112 times as many postings: they are dealt out before they are posted.
     """
     byte = lambda p: F.shiftrightunsigned(WIDE[p // 8], 8 * (p % 8)).bitwiseAND(F.lit(255).cast("long"))
     keys = F.array(*(F.lit(i).cast("long") * 65536 + byte(p) * 256 + byte(q) for i, (p, q) in enumerate(PAIRS)))
-    n = partitions(fps.sparkSession)
-    posts = fps.select(F.explode(keys).alias("key"), "id", *WIDE).repartition(n, "key").sortWithinPartitions("key")
+    n = max(partitions(fps.sparkSession), fps.count() * len(PAIRS) // POSTINGS + 1)
+    posts = fps.repartition(n, "id").select(F.explode(keys).alias("key"), "id", *WIDE).repartition(n, "key").sortWithinPartitions("key")
     schema = arrow_schema(EDGES)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:

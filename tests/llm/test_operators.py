@@ -253,9 +253,10 @@ def test_keep_one_finds_near_copies_and_leaves_others(spark):
     assert {10 * g for g in range(60)} <= kept and len(kept) <= 62
 
 
-@pytest.mark.parametrize("shifts", [2, 16])
-def test_wide_links_of_short_and_long_lists(spark, shifts, monkeypatch):
+@pytest.mark.parametrize(("shifts", "postings"), [(2, 8_000_000), (16, 500)])
+def test_wide_links_of_short_and_long_lists(spark, shifts, postings, monkeypatch):
     monkeypatch.setattr(simhash, "SHIFTS", shifts)
+    monkeypatch.setattr(simhash, "POSTINGS", postings)
     texts = [prose(g, 120, 4000).split() for g in range(8)]
     rows = [(i, " ".join([*t[: i % 100], f"w{i}", *t[i % 100 + 1 :]])) for i, t in enumerate(texts * 12)]
     kept = {r.doc_id for r in simhash.keep_one(make(spark, rows)).collect()}
