@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import labels
-from .operators import calls, fanin, memo, recursion, reduction, sorting, sync, trials
-from .plans import program, tree
+from .operators import calls, fanin, memo, monitor, recursion, reduction, sorting, sync, trials
+from .plans import invoke, program, tree
 from .sources import files
 from .storage import fresh, load
 from .streaming import replay
@@ -344,6 +344,38 @@ def sibling_join(spark: SparkSession, d: str) -> DataFrame:
     return fanin.siblings(sorting.window_rank(own, "l_orderkey", [*LINE[1:], "q"], "k"), "l_orderkey", "k", "q")
 
 
+@query("""
+WITH c AS (SELECT l_orderkey, list({'line': l_linenumber, 'part': l_partkey, 'supplier': l_suppkey, 'q': CAST(l_quantity AS BIGINT)} ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS a FROM lineitem GROUP BY 1),
+s AS (SELECT l_orderkey, a[-1] AS receiver, unnest(a[:-2]) AS sender FROM c)
+SELECT l_orderkey, sender.line AS sender, receiver.line AS receiver, sender.q AS result FROM s""")
+def fanin_received(spark: SparkSession, d: str) -> DataFrame:
+    """What is sent to the line of each order that becomes the parent."""
+    own = load(spark, d, "lineitem").select(*LINE, quantity().alias("q"))
+    got = fanin.received(own, "l_orderkey", [*LINE[1:], "q"], F.col("q"))
+    return got.select("l_orderkey", F.col("sender.l_linenumber").alias("sender"), F.col("receiver.l_linenumber").alias("receiver"), "result")
+
+
+RESULT = "SELECT o_orderkey, o_custkey // 4 % 3 - 1 AS type, o_custkey % 4 AS id FROM orders"
+
+
+@query(f"WITH r AS ({RESULT}) SELECT a.o_orderkey, a.type = b.type AND a.id = b.id AS same FROM r a JOIN r b ON b.o_orderkey = a.o_orderkey + 3")
+def result_equality(spark: SparkSession, d: str) -> DataFrame:
+    """Results of orders, compared by type and id with those three orders on; values always differ."""
+    key = F.col("o_orderkey")
+    own = load(spark, d, "orders").select(key, labels.result(F.floor(F.col("o_custkey") / 4) % 3 - 1, F.col("o_custkey") % 4, key).alias("r"))
+    other = own.select((key - 3).alias("o_orderkey"), F.col("r").alias("b"))
+    return own.join(other, "o_orderkey").select("o_orderkey", labels.same_result(F.col("r"), F.col("b")).alias("same"))
+
+
+@query("SELECT 'sum' AS program, CAST(sum(o_custkey) AS BIGINT) AS result FROM orders UNION ALL SELECT 'greatest', max(o_custkey) FROM orders UNION ALL SELECT 'count', count(*) FROM orders")
+def invoked_programs(spark: SparkSession, d: str) -> DataFrame:
+    """Three programs that run at the same time; their results are put together as they are withdrawn."""
+    own = load(spark, d, "orders")
+    hooks = {"sum": F.sum("o_custkey"), "greatest": F.max("o_custkey"), "count": F.count("*")}
+    got = [df.select(F.lit(name).alias("program"), "result") for name, df in invoke.invoke({n: own.agg(h.cast("long").alias("result")) for n, h in hooks.items()})]
+    return got[0].union(got[1]).union(got[2])
+
+
 # Fibonacci and memoization
 
 CALLS = """
@@ -409,6 +441,12 @@ def pairing_live_count(spark: SparkSession, d: str) -> DataFrame:
     return memo.live_names(log, "user_id", "ts", "event_id", F.when(F.col("event_type") == "signup", 1).otherwise(-1))
 
 
+@query("SELECT user_id, user_id IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150) AS removed FROM events WHERE event_type = 'signup' GROUP BY 1")
+def pairing_membership(spark: SparkSession, d: str) -> DataFrame:
+    own = load(spark, d, "events")
+    return memo.membership(own.where("event_type = 'signup'"), own.where("event_type = 'error' AND value > 150"), "user_id")
+
+
 # synchronization objects
 
 
@@ -441,6 +479,24 @@ def semaphore_wait(spark: SparkSession, d: str) -> DataFrame:
     return sync.semaphore_waits(_pv(spark, d), [], "ts", "event_id", F.when(F.col("event_type") == "view", "P").otherwise("V"), 3)
 
 
+@query("""
+WITH RECURSIVE r AS MATERIALIZED (
+  SELECT event_id, user_id % 16 AS name, ts, event_type = 'view' AS waits, event_type = 'purchase' AS leaves, row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS k
+  FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+s AS (
+  SELECT DISTINCT name, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS queue, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS woken FROM r
+  UNION ALL
+  SELECT r.name, r.k, CASE WHEN r.waits THEN list_append(queue, r.event_id) ELSE queue[2:] END, r.event_id, CASE WHEN NOT r.waits THEN queue[1] END FROM s JOIN r ON r.name = s.name AND r.k = s.k + 1)
+SELECT r.event_id, r.name, r.waits, CAST(len(s.queue) AS BIGINT) AS waiting, CASE WHEN r.waits THEN g.event_id ELSE s.woken END AS met,
+  CASE WHEN r.waits THEN g.ts WHEN NOT r.leaves THEN r.ts END AS resumed, s.woken IS NOT NULL AND NOT r.leaves AS urgent
+FROM s JOIN r ON r.name = s.name AND r.k = s.k LEFT JOIN (SELECT x.woken, y.event_id, y.ts FROM s x JOIN r y ON y.name = x.name AND y.k = x.k WHERE x.woken IS NOT NULL) g ON g.woken = r.event_id""")
+def monitor_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """Views wait, clicks signal, and purchases signal and leave the monitor."""
+    kind = F.col("event_type")
+    log = load(spark, d, "events").where(kind.isin("view", "click", "purchase")).select("event_id", "event_type", (F.col("user_id") % 16).alias("name"), "ts")
+    return monitor.conditions(log, ["name"], "ts", "event_id", kind == "view", kind == "purchase")
+
+
 BUFFER = """
 WITH r AS (SELECT event_id, event_type, user_id % 16 AS name, ts, row_number() OVER (PARTITION BY user_id % 16, event_type ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('purchase', 'view')),
 c AS (

@@ -64,3 +64,17 @@ def opened(text: Column) -> Column:
     """The message in an envelope, padded or not."""
     pad = F.concat(text, F.repeat(F.lit("="), F.pmod(-F.length(text), F.lit(4))))
     return F.unbase64(pad).cast("string")
+
+
+#: What a result's type is.
+NULL, STOP, NORMAL = -1, 0, 1
+
+
+def result(kind: Column, problem_id: Column, value: Column) -> Column:
+    """A result as a struct; a null result and one that stops have no value."""
+    return F.struct(kind.cast("tinyint").alias("type"), problem_id.alias("problem_id"), F.when(kind == NORMAL, value).alias("value"))
+
+
+def same_result(a: Column, b: Column) -> Column:
+    """Results are the same by type and id, whatever their values; a null is the same as a null."""
+    return a["type"].eqNullSafe(b["type"]) & a["problem_id"].eqNullSafe(b["problem_id"])

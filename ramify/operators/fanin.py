@@ -22,3 +22,13 @@ def siblings(calls: DataFrame, key: str, rank: str, value: str) -> DataFrame:
     left = calls.where(F.col(rank) % 2 == 1).select(key, ((F.col(rank) + 1) / 2).cast("long").alias("pair"), F.col(value).alias("first_value"))
     right = calls.where(F.col(rank) % 2 == 0).select(key, (F.col(rank) / 2).cast("long").alias("pair"), F.col(value).alias("second_value"))
     return left.join(right, [key, "pair"])
+
+
+def received(calls: DataFrame, key: str, order: list[str], result: Column) -> DataFrame:
+    """What the last child of a fan-out, which becomes its parent, is sent by the others: a row for each (key, sender, result).
+
+    sender and receiver are structs of order. The receiver is found by an aggregation, so no child list is held.
+    """
+    own = calls.select(key, F.struct(*order).alias("sender"), result.alias("result"))
+    last = calls.groupBy(key).agg(F.max(F.struct(*order)).alias("receiver"))
+    return own.join(last, key).where(F.col("sender") < F.col("receiver"))

@@ -39,6 +39,13 @@ def put_previous(log: DataFrame, label: str, ts: str, event: str, value: Column)
     return numbered.join(before, F.col(label).eqNullSafe(F.col("__label")) & (F.col("k") == F.col("__k")), "left").select(event, label, "value", "previous")
 
 
+def membership(added: DataFrame, removed: DataFrame, name: str) -> DataFrame:
+    """Each added name once, and whether it is also removed: a semi join and an anti join. Null names are equal to none."""
+    names = added.select(name).distinct()
+    kept = names.join(removed.select(name), name, "left_anti").withColumn("removed", F.lit(False))
+    return names.join(removed.select(name), name, "left_semi").withColumn("removed", F.lit(True)).unionByName(kept)
+
+
 def live_names(log: DataFrame, name: str, ts: str, event: str, sign: Column) -> DataFrame:
     """How often each name is live after each add (+1) or remove (-1); more than 1 or less than 0 breaks the pairing rules."""
     return prefix(log.withColumn("sign", sign), [name], [ts, event], {"live": sign.cast("long")}, "names").select(event, name, "sign", "live", ((F.col("live") > 1) | (F.col("live") < 0)).alias("violation"))

@@ -28,9 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """Where the tables of this application are, in the shared folder."""
+    return f"{shared_dir(spark)}/ramify/{spark.sparkContext.applicationId}"
+
+
 def fresh(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/ramify/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder, among those of this application, that nothing uses yet."""
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -38,3 +43,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     at = fresh(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def flush(spark: SparkSession) -> bool:
+    """Removes all that this application has written to the shared folder, and says whether there was anything.
+
+    Results are read from there when they are used, so those not yet saved elsewhere are gone with it. Other applications'
+    tables stay.
+    """
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    return bool(at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True))

@@ -1,14 +1,15 @@
 import math
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from ramify.functions import labels, student
-from ramify.operators import calls, fanin, memo, recursion, reduction, scan, sorting, sync, trials
-from ramify.plans import program, tree
+from ramify.operators import calls, fanin, memo, monitor, recursion, reduction, scan, sorting, sync, trials
+from ramify.plans import invoke, program, tree
 from ramify.sources import files
-from ramify.storage import fresh
+from ramify.storage import flush, fresh, written
 
 GOLDEN = [9, -3, 5, 0, 1, 2, -1, 4, 11, 10, 13, 12, 15, 14, 17, 16]
 
@@ -262,3 +263,65 @@ def test_a_batch_pushed_again_replaces_itself(spark):
     for batch, n in ((0, 3), (1, 2), (1, 4)):
         files.push(spark.range(n), at, batch)
     assert sorted((r.batch, r.id) for r in files.pushed(spark, at, "id long").collect()) == [(0, i) for i in range(3)] + [(1, i) for i in range(4)]
+
+
+def test_conditions_against_a_queue(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice(["a", "a", "b"]), i // 2, rnd.choice(["wait", "wait", "signal", "signal", "leave", None])) for i in range(300)]
+    log_ = spark.createDataFrame(rows, "event_id long, name string, ts long, kind string")
+    got = monitor.conditions(log_, ["name"], "ts", "event_id", F.col("kind") == "wait", F.col("kind") == "leave")
+    queues, want = {}, {}
+    for i, name, ts, kind in rows:
+        queue = queues.setdefault(name, [])
+        if kind == "wait":
+            queue.append(i)
+            want[i] = [len(queue), None, None, False]
+            continue
+        woken = queue.pop(0) if queue else None
+        want[i] = [len(queue), woken, None if kind == "leave" else ts, woken is not None and kind != "leave"]
+        if woken is not None:
+            want[woken][1:3] = [i, ts]
+    assert {r.event_id: [r.waiting, r.met, r.resumed, r.urgent] for r in got.collect()} == want
+    assert any(w[1] is None and w[2] is not None for w in want.values()) and any(w[3] for w in want.values())
+    assert monitor.conditions(log_.limit(0), ["name"], "ts", "event_id", F.lit(True), F.lit(False)).count() == 0
+
+
+def test_what_the_last_child_is_sent(spark):
+    own = spark.createDataFrame([("a", 2, 7), ("a", 1, 9), ("a", 3, None), ("b", 1, 5)], "name string, at long, v long")
+    got = {(r.name, r.sender["at"], r.receiver["at"], r.result) for r in fanin.received(own, "name", ["at"], F.col("v")).collect()}
+    assert got == {("a", 1, 3, 9), ("a", 2, 3, 7)}
+
+
+def test_membership_with_repeats_and_nulls(spark):
+    a, b = (spark.createDataFrame([(x,) for x in names], "name string") for names in (["x", "x", "y", None], ["x", None, "z"]))
+    assert {(r.name, r.removed) for r in memo.membership(a, b, "name").collect()} == {("x", True), ("y", False), (None, False)}
+
+
+def test_results_are_the_same_by_type_and_id(spark):
+    one_, null = labels.result(F.lit(1), F.lit("[0,1]"), F.lit(5)), labels.result(F.lit(-1), F.lit("[0,1]"), F.lit(5))
+    assert one(spark, one_["value"]) == 5 and one(spark, null["value"]) is None
+    assert one(spark, labels.same_result(one_, labels.result(F.lit(1), F.lit("[0,1]"), F.lit(6))))
+    assert not one(spark, labels.same_result(one_, null))
+    assert not one(spark, labels.same_result(one_, labels.result(F.lit(1), F.lit("[1,1]"), F.lit(5))))
+
+
+def test_invoked_plans(spark):
+    got = {name: df.first().id for name, df in invoke.invoke({str(i): spark.range(i, i + 1) for i in range(6)}, at_once=3)}
+    assert got == {str(i): i for i in range(6)} and not list(invoke.invoke({}))
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        list(invoke.invoke({"wrong": spark.range(1).select((F.lit(1) / F.col("id")).alias("x"))}))
+    with pytest.raises(ValueError):
+        list(invoke.invoke({}, at_once=0))
+
+
+def test_hooks_before_and_after_a_program(spark):
+    df = spark.createDataFrame([(i, i) for i in range(20)], "pos long, v long")
+    hooked = program.Program(F.sum, F.sum, threshold=3, preprocess=lambda rows: rows.withColumn("v", F.col("v") * 2), output=lambda out: out.withColumn("result", F.col("result") + 1))
+    assert [r.result for r in program.execute(hooked, df, "pos", "v").collect()] == [2 * 190 + 1]
+
+
+def test_flush_removes_what_was_written(spark):
+    kept = written(spark.range(5), "kept")
+    path = kept.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and flush(spark) and not os.path.exists(path)
+    assert not flush(spark) and written(spark.range(3), "again").count() == 3
