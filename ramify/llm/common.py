@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import load, partitions, shared_dir, written
+from ..storage import fresh, load, partitions, written
 
 #: Stands for a null id inside an operator, so that ids can be joined, sorted and hashed like any other.
 NULL_ID = -(2**63)

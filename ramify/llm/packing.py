@@ -28,7 +28,10 @@ Plan = list[tuple[tuple[int, ...], int]]
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """The bound of Martello and Toth: for each k, lengths over capacity - k stand alone and the rest must hold what is at least k."""
+    """The greatest of three bounds: what all lengths add up to; that of Martello and Toth: for each k, lengths over capacity - k
+    stand alone and the rest must hold what is at least k; that of Fekete and Schepers: for each k, a length counts as
+    floor((k + 1) length / capacity) / k, or as it is where that is a whole number before the floor, and so none of a sequence
+    counts as more than one. With k = 3, say, no more than three lengths over a quarter share a sequence."""
     best = -(-sum(s * n for s, n in counts.items()) // capacity)
     arr = np.zeros(capacity + 2, np.int64)
     for s, n in counts.items():
@@ -39,7 +42,11 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     alone, many = number[capacity] - number[capacity - k], number[capacity - k] - number[half]
     room = many * capacity - (total[capacity - k] - total[half])  # that the lengths over half leave beside them
     rest = np.maximum(0, total[half] - total[k - 1] - room)
-    return max(best, int((alone + many - (-rest // capacity)).max(initial=0)))
+    best = max(best, int((alone + many - (-rest // capacity)).max(initial=0)))
+    for k in range(1, 33):
+        steps, over = np.divmod((k + 1) * sizes, capacity)
+        best = max(best, -int(-(arr * np.where(over == 0, k * sizes, capacity * steps)).sum() // (k * capacity)))
+    return best
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:

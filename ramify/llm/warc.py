@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, id_in, id_out, partitions, range_of, shared_dir, table
+from .common import arrow_schema, fresh, id_in, id_out, partitions, range_of, table
 
 WRITTEN = "shard int, files int, records long, bytes long"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -267,7 +267,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     page_id, payload_bytes, payload_digest (hex SHA-1), record_type, refers_to; see write() for nulls, ties and repeats.
     """
     spark = pages.sparkSession
-    target = f"{shared_dir(spark)}/ramify/warc-{uuid.uuid4().hex}"
+    target = fresh(spark, "warc")
     if not write(pages, target):
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     out = read(spark, target)

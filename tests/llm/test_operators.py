@@ -868,6 +868,17 @@ def test_bin_completion_beats_best_fit():
     assert sum(n for _, n in plan) == 10**9  # counts, not documents, make the work
 
 
+def test_lower_bound_shows_what_is_least():
+    rnd = random.Random(4)
+    assert packing.lower_bound({300: 10, 320: 20}, 1024) == 10  # over a quarter: three at most
+    assert packing.lower_bound({513: 3, 512: 4}, 1024) == 5  # halves exactly
+    assert packing.lower_bound({}, 1024) == 0 and packing.lower_bound({1024: 7}, 1024) == 7
+    for low, high, each in ((300, 341, 3), (257, 340, 3), (210, 256, 4)):
+        counts = collections.Counter(rnd.randint(low, high) for _ in range(999))
+        plan, bound = packing.bin_completion(counts, 1024)
+        assert sum(n for _, n in plan) == bound == -(-999 // each)
+
+
 def test_runs_cover_all_ranks():
     plan = [((5, 5, 3), 4), ((5, 2), 2), ((3,), 1)]
     at = packing.runs(plan)
