@@ -34,6 +34,12 @@ def terms(text: Column) -> Column:
     return F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 1))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df, dealt anew into one partition of 16 for a table of a few bytes a row: its files and what is started to write them
+    are then not as many as the partitions that texts or terms need."""
+    return df.repartition(max(1, partitions(df.sparkSession) // 16))
+
+
 def _bounded(df: DataFrame, most: int) -> DataFrame:
     """df, marked for broadcast if it has at most so many rows."""
     return F.broadcast(df) if df.count() <= most else df
@@ -46,12 +52,17 @@ def lexicon(texts: DataFrame, low: float, high: float, least: int = 3, broadcast
     the shuffle.
     """
     hashed = texts.select(F.xxhash64("text").alias("h"), "text")
-    copies = table(hashed.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "copies")
+    copies = table(_few(hashed.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")), "copies")
     n = texts.count() - (copies.agg(F.sum(F.col("c") - 1)).first()[0] or 0)
     own = hashed.select("h", F.array_distinct(terms(F.col("text"))).alias("keys")).join(_bounded(copies, broadcast_rows), "h", "left")
     df = own.select((1 / F.coalesce("c", F.lit(1))).alias("w"), F.explode("keys").alias("key")).groupBy("key").agg(F.sum("w").alias("df"))
     off = 1e-6  # sums of 1 / c are a little beside whole numbers
-    return table(df.where((F.col("df") >= low * n - off) & (F.col("df") <= max(high * n, least) + off)).select("key"), "lexicon")
+    return table(_few(df.where((F.col("df") >= low * n - off) & (F.col("df") <= max(high * n, least) + off)).select("key")), "lexicon")
+
+
+def by_code(rows: DataFrame) -> DataFrame:
+    """about only beside code 0: with each code it would be most of what the grouping by row sorts and spills."""
+    return rows.withColumn("about", F.when(F.col("code") == 0, F.col("about")))
 
 
 def drawn(seed: int, family: Column, level: int, term: Column) -> Column:
@@ -151,11 +162,10 @@ def fingerprints(
     about = F.struct("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("plain"), F.xxhash64("edited").alias("edited_plain"))
     # two projections: in one, explode would come first and the hashes of whole texts be made again for each code
     found = rows.select("bucket", "pos", about.alias("about"), F.array_append(F.array_distinct(codes), F.lit(0).cast("long")).alias("codes"))
-    found = found.select("bucket", "pos", "about", F.explode("codes").alias("code"))
+    found = by_code(found.select("bucket", "pos", "about", F.explode("codes").alias("code")))
     known = known.where("key <> 0").union(spark.range(1).select(F.col("id").alias("key")))
     found = found.join(_bounded(known, broadcast_rows), F.shiftrightunsigned("code", 1) == F.col("key"), "left_semi")
-    mine = F.col("code") == 0
-    found = found.groupBy("bucket", "pos").agg(F.first(F.when(mine, F.col("about")), ignorenulls=True).alias("about"), F.collect_list(F.when(~mine, F.col("code"))).alias("codes"))
+    found = found.groupBy("bucket", "pos").agg(F.first("about", ignorenulls=True).alias("about"), F.collect_list(F.when(F.col("code") != 0, F.col("code"))).alias("codes"))
 
     def keys(flag: int) -> Column:
         return F.sort_array(F.transform(F.filter("codes", lambda c: c.bitwiseAND(1) == flag), lambda c: F.shiftrightunsigned(c, 1)))

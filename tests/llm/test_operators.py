@@ -126,6 +126,33 @@ def test_imatch_is_native(docs, monkeypatch):
     assert len(plans) == 5 and not any(x in plan for x in ("Python", "Pandas", "Arrow") for plan in plans)
 
 
+def test_imatch_writes_few_files_of_copies_and_terms(spark, monkeypatch):
+    files, plans, keep = {}, {}, imatch.table
+
+    def table(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
+        out = keep(df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(imatch, "table", table)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    rows = [(i, prose(i // 2, 60, 3000)) for i in range(400)]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: (r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in imatch.fingerprints(make(spark, rows)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == plain_imatch(rows)
+    assert files["copies"] <= 4 and files["lexicon"] <= 4
+    # what the grouping by row sorts has what is shown of a document once, not beside each of its terms
+    plan = plans["fingerprints"]
+    assert "first(about#" in plan and regex.search(r"Project \[[^\n]*CASE WHEN \(code#\d+L? = 0\) THEN about#", plan)
+
+
 def test_imatch_lexicon_band(spark):
     df = spark.createDataFrame([(f"all a{i % 2} own{i}",) for i in range(20)], "text string")
     assert imatch.lexicon(df, 0.1, 0.6).count() == 2  # a0 and a1
